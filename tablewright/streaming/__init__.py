@@ -1,0 +1 @@
+"""See README: streaming."""
