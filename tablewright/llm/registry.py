@@ -2,8 +2,10 @@
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .simhash import op6_simhash
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
