@@ -1,12 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
