@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hash-random order within each source, cut at the source's exact budget.
 
 Every document gets a hash-random key. Keys are uniform, so ranges of equal width hold about equally many
-documents; a source is dealt into ranges by its size, each range is sorted and summed on its own, and prefix sums
+documents; a source is dealt into ranges by its share of all documents, each range is sorted and summed on its own, and prefix sums
 of the range totals turn the local sums into positions in the source. A target above the source's size repeats the
 source in epochs; the last epoch is cut at the exact word.
 
@@ -23,8 +23,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: Most times that a source, and so a document, is repeated.
 MOST = 2
-#: Documents in a range, about.
-RANGE_ROWS = 20_000
+#: Ranges of all sources together, about; a source has its share of them, and one at least.
+RANGES = 4096
+#: Fewest documents for which a source gets another range.
+LEAST_ROWS = 500
 #: Largest number of rows of a per-source table that is broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -56,12 +58,13 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     return sources.withColumn("target", F.least(limit.cast("double"), F.col("weight") * F.lit(level))).drop("weight")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 9, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 9, n_ranges: int = RANGES) -> DataFrame:
     """id, source, size, source_size, target, taken: the words that the mix takes of each document."""
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key")))
     sources = written(source_targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size")), weights, share, most))
     side = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
-    ranges = F.ceil(F.col("source_rows") / F.lit(range_rows))
+    rows = sources.agg(F.sum("source_rows")).first()[0] or 0
+    ranges = F.ceil(F.col("source_rows") / F.lit(max(LEAST_ROWS, rows / n_ranges)))
     placed = sized.join(side(sources.select(F.col("source").alias("of"), "source_rows", "source_size", "target")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(F.col("key") / F.lit(2.0**52) * ranges))
     within = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
