@@ -2,10 +2,16 @@
 
 from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .langid import op5_langid
 from .mixing import OP9_SQL, op9_mixing
+from .quality import op10_quality
+from .secrets import op3_secrets
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op5_langid": op5_langid,
+    "op10_quality": op10_quality,
     "op1_decontamination": op1_decontamination,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
