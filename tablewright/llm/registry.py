@@ -4,12 +4,14 @@ from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fixity import OP2_SQL, op2_fixity
 from .langid import op5_langid
+from .lines import op7_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
 from .secrets import op3_secrets
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op2_fixity": op2_fixity,
     "op3_secrets": op3_secrets,
     "op5_langid": op5_langid,
