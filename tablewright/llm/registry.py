@@ -1,5 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+from .brown import op4_brown
 from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fixity import OP2_SQL, op2_fixity
@@ -11,6 +12,7 @@ from .secrets import op3_secrets
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op4_brown": op4_brown,
     "op7_line_dedup": op7_line_dedup,
     "op2_fixity": op2_fixity,
     "op3_secrets": op3_secrets,
