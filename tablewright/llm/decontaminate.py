@@ -239,12 +239,13 @@ def _pass(phrases, shard: int, with_text: bool):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id and the text without its spans; what the spans joined anew is searched again, until nothing is found."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """id, the text without its spans, contaminated, and in the struct `rest` the columns of carry. What the removal
+    joined anew is searched again, until nothing is found."""
     passes = blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))
     shared = docs.sparkSession.sparkContext.broadcast(passes)
     shard = options.get("shard", SHARD)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,9 +264,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for i, s in found.items():
                     texts[i], hit[i] = cut_out(texts[i], merge(s)), True
                 todo = sorted(found)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(hit)], names=["id", "text", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(hit), batch.column("rest")], names=["id", "text", "contaminated", "rest"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string, contaminated boolean")
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+    return source.mapInArrow(run, f"id {types['id']}, text string, contaminated boolean, rest {types['rest']}")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,11 +172,12 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH,
     return held.select("id", "line"), written(found.filter("first <> last").select("line", "first", "n"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """id, text without the lines of recurring templates, n_lines, n_dropped. Texts are shuffled, once, only if the
-    lines to drop are too many to be broadcast."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held, lines = recurring(source, min_tokens, depth, similar, broadcast_leaves)
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES, broadcast_lines: int = BROADCAST_LINES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, text without the lines of recurring templates, n_lines, n_dropped, n_left (lines left that are long enough for
+    a template), and in the struct `rest` the columns of carry. Texts are shuffled, once, only if the lines to drop are
+    too many to be broadcast."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    held, lines = recurring(source.select("id", "text"), min_tokens, depth, similar, broadcast_leaves)
     total = lines.agg(F.sum("n")).first()[0] or 0
     drops = join_groups(held, lines, ["line"], "n", total).filter("id <> first")
     drops = written(drops.groupBy("id").agg(F.collect_set("line").alias("drop")))
@@ -190,18 +191,19 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for text, gone in zip(part.column("text"), part.column("drop")):
                     text, gone = text.as_py(), set(gone.as_py() or ())
                     if text is None:
-                        rows.append((None, 0, 0))
+                        rows.append((None, 0, 0, 0))
                         continue
                     raw = text.encode("utf-8", "surrogatepass").split(b"\n")
                     kept = raw
                     if gone:
                         found = [parse(x, min_tokens, depth) for x in raw]
                         kept = [x for x, f in zip(raw, found) if not f or int(np.uint64(f[1]).view(np.int64)) not in gone]
-                    rows.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(raw), len(raw) - len(kept)))
-                text, n, lost = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=["id", "text", "n_lines", "n_dropped"])
+                    rows.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(raw), len(raw) - len(kept), sum(len(x.split(None, min_tokens - 1)) >= min_tokens for x in kept)))
+                text, *n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text, pa.string()), *(pa.array(x, pa.int64()) for x in n), part.column("rest")], names=["id", "text", "n_lines", "n_dropped", "n_left", "rest"])
 
-    return joined.select("id", "text", "drop").mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+    return joined.select("id", "text", "rest", "drop").mapInArrow(run, f"id {types['id']}, text string, n_lines long, n_dropped long, n_left long, rest {types['rest']}")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

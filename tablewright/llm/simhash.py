@@ -221,6 +221,97 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return join_groups(fps, by_class, ["fp"], "n", n_docs or 0).select("id", "fp", "component_id")
 
 
+#: The near-duplicate rule of the pipeline: five-word shingles, and the share of them that two texts have in common.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of the different words, with a seed each: a pair is a candidate if any of them links it.
+SEEDS = (42, 43, 44, 45)
+#: Ids (about 40 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 250_000
+
+
+def word_prints(text: str | None, seeds: tuple[int, ...] = SEEDS) -> tuple[int, list[int]]:
+    """A hash of the word sequence, and a fingerprint of the different words for each seed."""
+    whole, words = xxhash.xxh64(), set()
+    for part in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
+        for w in part:
+            whole.update(w + b" ")
+        words.update(part)
+    out = []
+    for seed in seeds:
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(h) else np.zeros(64, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return whole.intdigest(), out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """id, keep_id of the documents that are near-duplicates of the document that stays for their group; others, and
+    those that stay, are not returned.
+
+    Copies that edit a few words have few different words more or less, and so close fingerprints of their different
+    words, where those of their shingles are far apart. Groups are the components over links by any seed; the
+    document with the least id stays, and a document goes if it has the same words in the same order, or if the
+    Jaccard similarity of its shingles to those of the document that stays is at least `similarity`, counted exactly.
+    Rows that share an id share one fate.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind, names = source.schema["id"].dataType.simpleString(), [f"f{k}" for k in range(len(seeds))]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                got = [word_prints(x.as_py(), seeds) for x in part.column(1)]
+                same = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), *(pa.array([g[1][k] for g in got], pa.int64()) for k in range(len(seeds)))], names=["id", "same", *names])
+
+    rows = written(source.filter("id IS NOT NULL").mapInArrow(prints, f"id {kind}, same long, {', '.join(f'{n} long' for n in names)}"))
+    classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names)))
+    node = lambda k, c: F.xxhash64(F.lit(k), c)
+    edges = []
+    for k, n in enumerate(names):
+        found = links(classes.select(F.col(n).alias("fp")).distinct(), threshold)
+        edges.append(written(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b"))))
+        if k:
+            edges.append(classes.select(node(0, F.col("f0")).alias("a"), node(k, F.col(n)).alias("b")).distinct())
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.union(e)
+    # Membership edges of fingerprints that no link touches only lengthen the table; a node needs a link to matter.
+    roots = components(every)
+    members = written(classes.withColumn("node0", node(0, F.col("f0"))).join(roots, F.col("node0") == F.col("node"), "left").select("same", "rep", F.coalesce("root", "node0").alias("root")))
+    groups = written(members.groupBy("root").agg(F.min("rep").alias("stays"), F.count(F.lit(1)).alias("m")))
+    n_classes = members.count()
+    grouped = written(join_groups(members, groups, ["root"], "m", n_classes).filter("m > 1").select("root", "same", "rep", "stays"))
+    close = _similar(source, grouped, kind, shingle, similarity)
+    gone = close.select("same", F.col("stays").alias("keep_id"))
+    # Copies go with the text they repeat: first all but the first of each class, then whole classes.
+    copies = join_groups(rows.select("id", "same"), classes.select("same", "rep", "n"), ["same"], "n", rows.count())
+    copies = copies.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "same", "left")
+    return copies.select("id", F.coalesce("keep_id", "rep").alias("keep_id")).filter("id <> keep_id").distinct()
+
+
+def _similar(source: DataFrame, grouped: DataFrame, kind: str, shingle: int, similarity: float) -> DataFrame:
+    """same, stays of the classes whose shingles are similar to those of the document that stays. Each shingle of a
+    grouped text meets those of one document only, on group and shingle, so a large group is no hot key."""
+    wanted = grouped.select(F.col("rep").alias("id"), "root", "same", (F.col("rep") == F.col("stays")).alias("first"))
+    wanted = F.broadcast(wanted) if grouped.count() <= BROADCAST_IDS else wanted.hint("shuffle_merge")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = [np.unique(h) for h in shingle_hashes(batch.column("text")[i].as_py(), shingle, SEED)]
+                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[i].as_py()] * len(h), t) for c, t in (("root", pa.int64()), ("same", pa.int64()), ("first", pa.bool_()))), pa.array(h.view(np.int64)), pa.array([len(h)] * len(h), pa.int64())], names=["root", "same", "first", "h", "size"])
+
+    found = written(source.join(wanted, "id").select("text", "root", "same", "first").mapInArrow(shingles, "root long, same long, first boolean, h long, size long"))
+    first = found.filter("first").select("root", "h", F.col("size").alias("of")).distinct()
+    shared = found.filter("not first").distinct().join(first.hint("shuffle_merge"), ["root", "h"])
+    counts = shared.groupBy("same").agg(F.count(F.lit(1)).alias("both"), F.min("size").alias("size"), F.min("of").alias("of"))
+    near = counts.filter(F.col("both") >= similarity * (F.col("size") + F.col("of") - F.col("both"))).select("same")
+    return written(near.join(grouped, "same").select("same", "stays"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
