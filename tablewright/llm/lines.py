@@ -32,8 +32,8 @@ from .common import HOT_SHARE, join_groups, table, written
 MIN_TOKENS, DEPTH, SIMILAR = 5, 4, 0.7
 #: Tokens of the prefix of a leaf that is dealt out deeper.
 DEEPER = 4 * DEPTH
-#: Leaves (8 bytes) and lines to drop (about 40 bytes) up to which they are broadcast.
-BROADCAST_LEAVES, BROADCAST_LINES = 500_000, 250_000
+#: Leaves (8 bytes each) up to which they are broadcast.
+BROADCAST_LEAVES = 500_000
 
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -172,17 +172,16 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH,
     return held.select("id", "line"), written(found.filter("first <> last").select("line", "first", "n"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES, broadcast_lines: int = BROADCAST_LINES, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, text without the lines of recurring templates, n_lines, n_dropped, n_left (lines left that are long enough for
-    a template), and in the struct `rest` the columns of carry. Texts are shuffled, once, only if the lines to drop are
-    too many to be broadcast."""
+    a template), and in the struct `rest` the columns of carry. Texts are shuffled once, to meet the lines that they
+    lose; those are too many to be sent to every task."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     held, lines = recurring(source.select("id", "text"), min_tokens, depth, similar, broadcast_leaves)
     total = lines.agg(F.sum("n")).first()[0] or 0
     drops = join_groups(held, lines, ["line"], "n", total).filter("id <> first")
     drops = written(drops.groupBy("id").agg(F.collect_set("line").alias("drop")))
-    small = (drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0) <= broadcast_lines
-    joined = source.join(F.broadcast(drops) if small else drops.hint("shuffle_merge"), "id", "left")
+    joined = source.join(drops.hint("shuffle_merge"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,7 +61,7 @@ def corpus():
 def test_matches_the_plain_version(spark, broadcasts):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string")
-    got = lines.drop_lines(df, broadcast_leaves=broadcasts, broadcast_lines=broadcasts).collect()
+    got = lines.drop_lines(df, broadcast_leaves=broadcasts).collect()
     want = brute(rows)
     assert len(got) == len(rows)
     for r in got:
