@@ -1 +1 @@
-"""See README: functions."""
+"""Column builders and scalar helpers."""

@@ -1 +1 @@
-"""See README: operators."""
+"""Operators on DataFrames."""

@@ -1 +1 @@
-"""See README: plans."""
+"""Compositions of operators: evaluation, generation, selection, reports, and the named queries."""

@@ -1 +1 @@
-"""See README: sources."""
+"""Sources and sinks."""
