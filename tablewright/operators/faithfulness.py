@@ -29,6 +29,8 @@ from ..sources.tables import staged
 
 #: Columns cut into cells, at most.
 CELL_COLUMNS = 2
+#: Edges (16 bytes each) up to which one task solves all of them; beyond, components are found and solved apart.
+LOCAL_EDGES = 2_000_000
 #: Edges of a component beyond which it is matched greedily only, for an upper bound on beta. None: no limit.
 COMPONENT_EDGES = None
 
@@ -211,9 +213,10 @@ def _augment_any(out, back, flow, free_x, free_y) -> bool:
     return False
 
 
-def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, component_edges: int | None = COMPONENT_EDGES) -> DataFrame:
+def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, component_edges: int | None = COMPONENT_EDGES, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """x_id, y_id, pairs: how many rows of each configuration are matched. x and y have id and n."""
-    blocks = edge_components(edges).join(x.select(F.col("id").alias("x_id"), F.col("n").alias("nx")), "x_id").join(y.select(F.col("id").alias("y_id"), F.col("n").alias("ny")), "y_id")
+    few = edges.limit(local_edges + 1).count() <= local_edges
+    blocks = (edges.withColumn("block", F.lit(0)) if few else edge_components(edges)).join(x.select(F.col("id").alias("x_id"), F.col("n").alias("nx")), "x_id").join(y.select(F.col("id").alias("y_id"), F.col("n").alias("ny")), "y_id")
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         full = exact and (component_edges is None or len(block) <= component_edges)

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -53,15 +53,21 @@ def _is(tag: str, c: Column) -> Column:
     return F.when(F.col("_tag") == tag, c)
 
 
-def summary_row(x: DataFrame, y: DataFrame) -> Row:
-    """All one-way aggregates of all columns of both tables: one job."""
-    aggs = []
+def summary_row(x: DataFrame, y: DataFrame) -> dict:
+    """All one-way aggregates of all columns of both tables, as `statistic|x or y|column`: one job, in which the three
+    quartiles of a column share one table of counts."""
+    aggs, quarters = [], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     for c in x.columns:
         v = F.nanvl(F.col(c), F.lit(None).cast("double"))
         for t in "xy":
             w = _is(t, v)
-            aggs += [a.alias(f"{n}|{t}|{c}") for n, a in (("nan", F.count_if((F.col("_tag") == t) & v.isNull())), ("mean", F.avg(w)), ("median", F.median(w)), ("std", F.stddev_pop(w)), ("max", F.max(w)), ("min", F.min(w)), ("q1", F.percentile(w, F.lit(0.25))), ("q3", F.percentile(w, F.lit(0.75))), ("n", F.count(w)))]
-    return tagged({"x": x, "y": y.select(*x.columns)}, "_tag").agg(*aggs).first()
+            aggs += [a.alias(f"{n}|{t}|{c}") for n, a in (("nan", F.count_if((F.col("_tag") == t) & v.isNull())), ("mean", F.avg(w)), ("std", F.stddev_pop(w)), ("max", F.max(w)), ("min", F.min(w)), ("quartiles", F.percentile(w, quarters)), ("n", F.count(w)))]
+    row = tagged({"x": x, "y": y.select(*x.columns)}, "_tag").agg(*aggs).first().asDict()
+    for c in x.columns:
+        for t in "xy":
+            q = row[f"quartiles|{t}|{c}"] or [None] * 3
+            row |= {f"{n}|{t}|{c}": v for n, v in zip(("q1", "median", "q3"), q)}
+    return row
 
 
 def ratio_or_inf(a: float | None, b: float | None) -> float | None:
@@ -215,8 +221,8 @@ def mean_resized(x: DataFrame, y: DataFrame, target: str, by: str, edges, midpoi
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation, null for a constant column instead of an error."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    """Correlation, null for a constant column, where corr() divides by zero."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 #: Cells of a pair's grid in Kendall's tau; beyond, values of the first column share a row of the grid.

@@ -56,7 +56,7 @@ def regressions(tables: dict[str, DataFrame]) -> DataFrame:
         r = x.agg(F.sum(e * e), F.var_pop(x.columns[-1]) * F.count(F.lit(1)), F.avg(F.abs(e))).first()
         k, r2 = len(x.columns) - 1, 1 - r[0] / r[1] if r[1] else 0.0
         f = (r2 / k) / ((1 - r2) / max(1.0, n - k - 1)) if r2 < 1 else float("inf")
-        rows.append((name, r2, f, stats.f_tail(f, k, n - k - 1), r[2], [float(c) for c in model.coef], model.intercept))
+        rows.append((name, float(r2), float(f), float(stats.f_tail(f, k, n - k - 1)), r[2], [float(c) for c in model.coef], model.intercept))
     return spark.createDataFrame(rows, "name string, r2 double, f double, p double, mae double, coef array<double>, intercept double")
 
 
