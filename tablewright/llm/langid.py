@@ -65,14 +65,15 @@ def features(text: str) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> np.ndarray:
     """A linear SVM (squared hinge, both classes of equal weight) by accelerated gradient steps; the last weight is
     the bias."""
-    x = np.c_[x, np.ones(len(x), dtype=np.float32)]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = last = np.zeros(x.shape[1])
+    x = np.c_[x, np.ones(len(x))].astype(np.float32)
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = last = np.zeros(x.shape[1], dtype=np.float32)
     for k in range(steps):
-        v = w + k / (k + 3) * (w - last)
-        slack = np.maximum(0, 1 - y * (x @ v))
-        last, w = w, v - 0.2 * (penalty * v - 2 * x.T @ (weight * slack * y))
-    return w.astype(np.float32)
+        v = w + np.float32(k / (k + 3)) * (w - last)
+        slack = np.maximum(np.float32(0), 1 - y * (x @ v))
+        last, w = w, v - np.float32(0.2) * (np.float32(penalty) * v - 2 * ((weight * slack * y) @ x))
+    return w
 
 
 class Model:
