@@ -8,7 +8,8 @@ half of them, are too general to be a template and stay.
 
 Counts come first, by hash: which leaf, which line, the first and last document. Only leaves with several different
 lines are parsed again with their tokens (two bytes each), so most lines never leave their task. Leaves with over a
-thousandth of these lines, 1,000 at most, grow deeper, by a longer prefix of tokens, and are dealt by it.
+thousandth of these lines, 1,000 at most, grow deeper, by a longer prefix of tokens, and are grouped in two steps:
+parts of a bounded number of lines first, then the templates of all parts.
 
 Defined cases: a null text stays null and has no lines; a null id is no document of its own: its lines neither make
 a template recur nor are dropped; rows that share an id are one document; a document that loses every line
@@ -92,8 +93,8 @@ def _lines(docs: DataFrame, with_tokens: bool, leaves=None, min_tokens: int = MI
     return docs.mapInArrow(run, "leaf long, line long, tokens binary" if with_tokens else f"id {kind}, leaf long, line long")
 
 
-def group_leaf(lines: np.ndarray, tokens: list[bytes], similar: float = SIMILAR) -> np.ndarray:
-    """The template of each line of a leaf: lines in order of their hash, each joins the template that it agrees with
+def group_leaf(lines: np.ndarray, tokens: list[bytes], similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The template of each line of a leaf, and the templates' tokens: lines in order of their hash, each joins the template that it agrees with
     in most tokens, if in enough of them, or begins one."""
     order, out = np.argsort(lines), np.zeros(len(lines), dtype=np.int64)
     width = len(tokens[0]) // 2
@@ -114,16 +115,12 @@ def group_leaf(lines: np.ndarray, tokens: list[bytes], similar: float = SIMILAR)
             templates = np.concatenate([templates, np.zeros_like(templates)])
         templates[n] = line
         out[i], n = n, n + 1
-    return out
+    return out, templates[:n]
 
 
-def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = HOT_SHARE) -> DataFrame:
-    """members(leaf, line, tokens), lines distinct -> line, template (the smallest line hash of it)."""
-    sizes = written(members.groupBy("leaf").count())
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = sizes.filter(F.col("count") >= max(64.0, total * hot_share)).select("leaf", F.lit(True).alias("hot"))
-    prefix = F.xxhash64("leaf", F.substring("tokens", 1, 2 * DEEPER))
-    rows = members.join(F.broadcast(hot), "leaf", "left").select(F.when(F.col("hot"), prefix).otherwise(F.col("leaf")).alias("key"), F.octet_length("tokens").alias("size"), "line", "tokens")
+def _grouped(rows: DataFrame, similar: float) -> DataFrame:
+    """rows(key, size, line, tokens) -> line, template (the smallest line hash of it), tokens (the template's, on the row of
+    that line only): one key and length after the other."""
     rows = rows.repartition("key").sortWithinPartitions("key", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +130,11 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
             if not lines:
                 return
             at = np.array(lines, dtype=np.int64)
-            group = group_leaf(at, tokens, similar)
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+            group, made = group_leaf(at, tokens, similar)
+            least = np.full(len(made), np.iinfo(np.int64).max)
             np.minimum.at(least, group, at)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[group])], names=["line", "template"])
+            own = [made[g].tobytes() if least[g] == line else None for g, line in zip(group, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[group]), pa.array(own, pa.binary())], names=["line", "template", "tokens"])
 
         for batch in batches:
             for k, size, line, token in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -147,7 +145,25 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
                 tokens.append(token)
         yield from flush()
 
-    return rows.mapInArrow(run, "line long, template long")
+    return rows.mapInArrow(run, "line long, template long, tokens binary")
+
+
+def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = HOT_SHARE) -> DataFrame:
+    """members(leaf, line, tokens), lines distinct -> line, template (the smallest line hash of it)."""
+    sizes = written(members.groupBy("leaf").count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    limit = max(64.0, total * hot_share)
+    hot = sizes.filter(F.col("count") >= limit).select("leaf", F.ceil(F.col("count") / limit).alias("parts"))
+    prefix = F.xxhash64("leaf", F.substring("tokens", 1, 2 * DEEPER))
+    part = F.xxhash64(prefix, F.pmod(F.xxhash64("line"), F.col("parts")))
+    size = F.octet_length("tokens").alias("size")
+    rows = members.join(F.broadcast(hot), "leaf", "left").select(F.coalesce(part, "leaf").alias("key"), size, "line", "tokens", F.col("parts").isNotNull().alias("hot"), "leaf")
+    first = written(_grouped(rows.select("key", "size", "line", "tokens"), similar))
+    # The templates of the parts of hot leaves, themselves grouped.
+    of_hot = rows.filter("hot").select("leaf", F.col("line").alias("l"))
+    parts = first.filter("tokens IS NOT NULL").join(of_hot, F.col("line") == F.col("l")).select(prefix.alias("key"), size, "line", "tokens")
+    second = written(_grouped(parts, similar).select(F.col("line").alias("t"), F.col("template").alias("final")))
+    return first.join(second, F.col("template") == F.col("t"), "left").select("line", F.coalesce("final", "template").alias("template"))
 
 
 def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def brute(rows):
     for members in leaves.values():
         keys = list(members)
         signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-        group = lines.group_leaf(lines.np.array(signed), [members[k] for k in keys])
+        group, _ = lines.group_leaf(lines.np.array(signed), [members[k] for k in keys])
         for g in set(group):
             mine = [k for k, x in zip(keys, group) if x == g]
             ids = set().union(*(info[k] for k in mine))
@@ -80,6 +80,16 @@ def test_hot_leaves_grow_deeper(spark):
     assert all(got[1000 + i].n_dropped == 1 for i in range(50))
 
 
+def test_a_hot_template_is_one_template(spark):
+    """Lines of one leaf with the same prefix, in several parts: all are one template, and one document keeps it."""
+    rng = random.Random(8)
+    head = "in the beginning of every copy of this text there are many words that never change at all and then"
+    rows = [(i, head + " " + " ".join(rng.choices("abcdefgh", k=3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.drop_lines(df).collect()
+    assert sum(r.n_dropped for r in got) == 399
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.drop_lines(df).count() == 0
