@@ -157,7 +157,7 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
     prefix = F.xxhash64("leaf", F.substring("tokens", 1, 2 * DEEPER))
     part = F.xxhash64(prefix, F.pmod(F.xxhash64("line"), F.col("parts")))
     size = F.octet_length("tokens").alias("size")
-    rows = members.join(F.broadcast(hot), "leaf", "left").select(F.coalesce(part, "leaf").alias("key"), size, "line", "tokens", F.col("parts").isNotNull().alias("hot"), "leaf")
+    rows = members.join(F.broadcast(hot), "leaf", "left").select(F.when(F.col("parts").isNotNull(), part).otherwise(F.col("leaf")).alias("key"), size, "line", "tokens", F.col("parts").isNotNull().alias("hot"), "leaf")
     first = written(_grouped(rows.select("key", "size", "line", "tokens"), similar))
     # The templates of the parts of hot leaves, themselves grouped.
     of_hot = rows.filter("hot").select("leaf", F.col("line").alias("l"))
