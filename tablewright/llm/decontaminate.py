@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .fm_index import FMIndex
 
 #: Words in a window.
@@ -202,29 +202,29 @@ def cut_out(text: str | None, spans: list) -> str | None:
     return b"\n".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list[Phrases]:
-    """The benchmark's phrases, a block of bounded size at a time."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
+    """The benchmark's phrases, a block of bounded size at a time; one block at least."""
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    out, block, size = [], [], 0
+    block, size, any_yet = [], 0, False
     for row in items.toLocalIterator():
         block.append((row.item, row.text))
         size += len(row.text) // 2 + 1
         if size >= block_words:
-            out.append(Phrases(block, window))
-            block, size = [], 0
-    return [*out, Phrases(block, window)] if block or not out else out
+            yield Phrases(block, window)
+            block, size, any_yet = [], 0, True
+    if block or not any_yet:
+        yield Phrases(block, window)
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """id, n_words, spans (merged; words and UTF-8 bytes), items (ids as strings), and with_text the text."""
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    passes = blocks(benchmark, item_col, item_text_col, window, block_words)
-    for k, phrases in enumerate(passes):
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(phrases), shard, with_text or k + 1 < len(passes)), out.schema)
+    for phrases in blocks(benchmark, item_col, item_text_col, window, block_words):
+        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(phrases), shard), out.schema)
     return out if with_text else out.drop("text")
 
 
-def _pass(phrases, shard: int, with_text: bool):
+def _pass(phrases, shard: int):
     kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,42 +232,51 @@ def _pass(phrases, shard: int, with_text: bool):
             before = [[tuple(s.values()) for s in x] for x in rows.column("spans").to_pylist()]
             spans = [merge(a + b) if a else b for a, b in zip(before, spans)]
             items = [sorted(a | set(b)) for a, b in zip(items, rows.column("items").to_pylist())]
-            text = rows.column("text") if with_text else pa.nulls(rows.num_rows, rows.schema.field("text").type)
             as_dicts = [[dict(zip(("first", "last", "start", "end"), s)) for s in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), text, pa.array(n, pa.int64()), pa.array(as_dicts, kind), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text"), pa.array(n, pa.int64()), pa.array(as_dicts, kind), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """id, the text without its spans, contaminated, and in the struct `rest` the columns of carry. What the removal
-    joined anew is searched again, until nothing is found."""
-    passes = blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))
-    shared = docs.sparkSession.sparkContext.broadcast(passes)
-    shard = options.get("shard", SHARD)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
-
+    joined anew is searched again, until nothing is found; with several blocks of items, over all blocks."""
+    sc, shard = docs.sparkSession.sparkContext, options.get("shard", SHARD)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(False).alias("contaminated"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    passes = [sc.broadcast(p) for p in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))]
+    while True:
+        again = out if len(passes) == 1 else out.withColumn("contaminated", F.lit(False))
+        for phrases in passes:
+            again = again.mapInArrow(_cleaning(phrases, shard), out.schema)
+        if len(passes) == 1:
+            return again
+        # A cut for one block may have joined a window of another: once more, until no block finds any.
+        again = written(again)
+        before = out.filter("contaminated").select(F.col("id").alias("i"), F.lit(True).alias("was")).distinct()
+        found = not again.filter("contaminated").isEmpty()
+        out = again.join(before, F.col("id").eqNullSafe(F.col("i")), "left").withColumn("contaminated", F.col("contaminated") | F.coalesce("was", F.lit(False))).drop("i", "was")
+        if not found:
+            return out
+        out = written(out)
+
+
+def _cleaning(phrases, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            todo, texts = list(range(batch.num_rows)), batch.column("text").to_pylist()
-            hit = [False] * len(texts)
+            todo, texts, hit = list(range(batch.num_rows)), batch.column("text").to_pylist(), batch.column("contaminated").to_pylist()
             while todo:
-                found: dict[int, list] = {}
-                part = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in todo], pa.string())], names=["text"])
-                for phrases in shared.value:
-                    at = 0
-                    for rows, _, spans, _ in search(iter([part]), phrases, shard):
-                        for i, s in enumerate(spans):
-                            if s:
-                                found.setdefault(todo[at + i], []).extend(s)
-                        at += rows.num_rows
-                for i, s in found.items():
-                    texts[i], hit[i] = cut_out(texts[i], merge(s)), True
-                todo = sorted(found)
+                part, at, found = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in todo], pa.string())], names=["text"]), 0, []
+                for rows, _, spans, _ in search(iter([part]), phrases.value, shard):
+                    for i, s in enumerate(spans):
+                        if s:
+                            row = todo[at + i]
+                            texts[row], hit[row] = cut_out(texts[row], s), True
+                            found.append(row)
+                    at += rows.num_rows
+                todo = found
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(hit), batch.column("rest")], names=["id", "text", "contaminated", "rest"])
 
-    types = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, f"id {types['id']}, text string, contaminated boolean, rest {types['rest']}")
+    return run
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

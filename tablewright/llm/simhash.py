@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,22 +268,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = written(source.filter("id IS NOT NULL").mapInArrow(prints, f"id {kind}, same long, {', '.join(f'{n} long' for n in names)}"))
     classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names)))
+    n_classes = classes.count()
+    # Nodes are classes and fingerprints. A class is tied to a fingerprint only if another class has that too, or a
+    # link leads to it, so the graph has the documents near others alone.
     node = lambda k, c: F.xxhash64(F.lit(k), c)
+    own = node(-1, F.col("same"))
     edges = []
     for k, n in enumerate(names):
-        found = links(classes.select(F.col(n).alias("fp")).distinct(), threshold)
-        edges.append(written(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b"))))
-        if k:
-            edges.append(classes.select(node(0, F.col("f0")).alias("a"), node(k, F.col(n)).alias("b")).distinct())
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.union(e)
-    # Membership edges of fingerprints that no link touches only lengthen the table; a node needs a link to matter.
-    roots = components(every)
-    members = written(classes.withColumn("node0", node(0, F.col("f0"))).join(roots, F.col("node0") == F.col("node"), "left").select("same", "rep", F.coalesce("root", "node0").alias("root")))
+        shared = written(classes.groupBy(F.col(n).alias("fp")).agg(F.count(F.lit(1)).alias("m")))
+        found = written(links(shared.select("fp"), threshold))
+        linked = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct().withColumn("linked", F.lit(True))
+        touched = written(shared.join(linked, "fp", "left").filter("m > 1 OR linked").select("fp", "m"))
+        edges.append(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b")))
+        tied = join_groups(classes.select("same", F.col(n).alias("fp")), touched, ["fp"], "m", n_classes)
+        edges.append(tied.select(own.alias("a"), node(k, F.col("fp")).alias("b")))
+    roots = written(components(written(reduce(DataFrame.union, edges))))
+    members = written(classes.withColumn("own", own).join(roots, F.col("own") == F.col("node")).select("same", "rep", "root"))
     groups = written(members.groupBy("root").agg(F.min("rep").alias("stays"), F.count(F.lit(1)).alias("m")))
-    n_classes = members.count()
-    grouped = written(join_groups(members, groups, ["root"], "m", n_classes).filter("m > 1").select("root", "same", "rep", "stays"))
+    grouped = written(join_groups(members, groups, ["root"], "m", members.count()).filter("m > 1").select("root", "same", "rep", "stays"))
     close = _similar(source, grouped, kind, shingle, similarity)
     gone = close.select("same", F.col("stays").alias("keep_id"))
     # Copies go with the text they repeat: first all but the first of each class, then whole classes.

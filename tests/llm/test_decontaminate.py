@@ -71,12 +71,13 @@ def test_spans_match_brute_force(spark, shard, block_words):
         assert (rows[i].n_words, sum(s["last"] - s["first"] for s in rows[i].spans), set(rows[i].items)) == (n, hit, found), i
 
 
-def test_nothing_is_left_after_removal(spark):
+@pytest.mark.parametrize("block_words", [8, 1 << 20])
+def test_nothing_is_left_after_removal(spark, block_words):
     items, texts = sample(4)
     items = [x for x in items if len(x[1].split()) >= 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    for r in dc.decontaminate(docs, bench).collect():
+    for r in dc.decontaminate(docs, bench, block_words=block_words).collect():
         assert brute(r.text, items)[1] == 0
         assert r.contaminated == (brute(texts[r.id], items)[1] > 0)
         assert r.contaminated or r.text == texts[r.id]
