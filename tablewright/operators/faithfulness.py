@@ -214,24 +214,39 @@ def _augment_any(out, back, flow, free_x, free_y) -> bool:
 
 
 def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, component_edges: int | None = COMPONENT_EDGES, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """x_id, y_id, pairs: how many rows of each configuration are matched. x and y have id and n."""
-    few = edges.limit(local_edges + 1).count() <= local_edges
-    blocks = (edges.withColumn("block", F.lit(0)) if few else edge_components(edges)).join(x.select(F.col("id").alias("x_id"), F.col("n").alias("nx")), "x_id").join(y.select(F.col("id").alias("y_id"), F.col("n").alias("ny")), "y_id")
+    """x_id, y_id, pairs: how many rows of each configuration are matched. x and y have id and n. Edges may have an
+    `alpha`: each alpha's edges are then matched on their own, and the result has it too."""
+    keys = ["alpha"] if "alpha" in edges.columns else []
+    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("e")).agg(F.max("e")).first()[0] or 0
+    if sizes <= local_edges:
+        blocks = edges.withColumn("block", F.lit(0))
+    elif keys:
+        alphas = [r.alpha for r in edges.select("alpha").distinct().collect()]
+        parts = [edge_components(edges.filter(F.col("alpha") == a).drop("alpha")).withColumn("alpha", F.lit(a)) for a in alphas]
+        blocks = reduce(DataFrame.unionByName, parts)
+    else:
+        blocks = edge_components(edges)
+    blocks = blocks.select(*keys, "block", "x_id", "y_id").join(x.select(F.col("id").alias("x_id"), F.col("n").alias("nx")), "x_id").join(y.select(F.col("id").alias("y_id"), F.col("n").alias("ny")), "y_id")
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         full = exact and (component_edges is None or len(block) <= component_edges)
         got = match_counts(block.x_id.to_numpy(), block.y_id.to_numpy(), dict(zip(block.x_id, block.nx)), dict(zip(block.y_id, block.ny)), full)
-        return pd.DataFrame([(a, b, k) for (a, b), k in got.items()], columns=["x_id", "y_id", "pairs"]).astype("int64")
+        out = pd.DataFrame([(u, v, k) for (u, v), k in got.items()], columns=["x_id", "y_id", "pairs"]).astype("int64")
+        return out.assign(**{k: block[k].iloc[0] for k in keys})
 
-    return blocks.groupBy("block").applyInPandas(solve, "x_id long, y_id long, pairs long")
+    return blocks.groupBy(*keys, "block").applyInPandas(solve, "x_id long, y_id long, pairs long" + ", alpha double" * bool(keys))
+
+
+def unmatched(table: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """id, left: configurations with rows that no pair uses."""
+    used = pairs.groupBy(F.col(side).alias("id")).agg(F.sum("pairs").alias("used"))
+    return table.join(used, "id", "left").select("id", (F.col("n") - F.coalesce("used", F.lit(0))).alias("left")).filter(F.col("left") > 0)
 
 
 def matching_info(x: DataFrame, y: DataFrame, pairs: DataFrame) -> dict:
     """beta, and the configurations with rows left on either side (id, left)."""
-    n = x.agg(F.sum("n")).first()[0] or 0
-    left = lambda t, c: t.join(pairs.groupBy(F.col(c).alias("id")).agg(F.sum("pairs").alias("used")), "id", "left").select("id", (F.col("n") - F.coalesce("used", F.lit(0))).alias("left")).filter(F.col("left") > 0)
-    size = pairs.agg(F.sum("pairs")).first()[0] or 0
-    return {"beta": 1 - size / n if n else 0.0, "size": size, "unmatched_x": left(x, "x_id"), "unmatched_y": left(y, "y_id")}
+    n, size = x.agg(F.sum("n")).first()[0] or 0, pairs.agg(F.sum("pairs")).first()[0] or 0
+    return {"beta": 1 - size / n if n else 0.0, "size": size, "unmatched_x": unmatched(x, pairs, "x_id"), "unmatched_y": unmatched(y, pairs, "y_id")}
 
 
 def choose_algorithm(dens: float, n: int) -> str:
@@ -241,22 +256,26 @@ def choose_algorithm(dens: float, n: int) -> str:
 
 
 def evaluate(x: DataFrame, y: DataFrame, weights: dict, alphas: Sequence[float], p: float = 1) -> list[dict]:
-    """A row for each alpha: alpha, beta, density, algorithm, duration, pairs (configurations), unmatched. One radius join at
-    the largest alpha serves all. Tables must have as many rows."""
+    """A row for each alpha: alpha, beta, density, algorithm, duration (its share), pairs (configurations), unmatched. One
+    radius join at the largest alpha and one matching job serve all. Tables must have as many rows."""
     columns = x.columns
     cx, cy = (staged(configurations(scale_by_weights(t.select(*columns), weights), columns)) for t in (x, y))
     n, m = (c.agg(F.sum("n")).first()[0] or 0 for c in (cx, cy))
     if n != m:
         raise AssertionError(f"{n} rows against {m}")
     started = time.monotonic()
-    edges, out = staged(radius_edges(cx, cy, columns, max(alphas), p)), []
-    for alpha in alphas:
-        near = edges.filter(F.col("distance") <= alpha)
-        rows = near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
-        pairs = staged(matching(cx, cy, near.select("x_id", "y_id")))
-        info = matching_info(cx, cy, pairs)
-        out.append({"alpha": alpha, "beta": info["beta"], "density": density(rows, n), "algorithm": choose_algorithm(density(rows, n), n), "duration": time.monotonic() - started, "pairs": pairs, **{k: info[k] for k in ("unmatched_x", "unmatched_y")}})
-        started = time.monotonic()
+    edges = staged(radius_edges(cx, cy, columns, max(alphas), p))
+    within = F.filter(F.array(*(F.lit(float(a)) for a in alphas)), lambda a: a >= F.col("distance"))
+    near = edges.select("x_id", "y_id", F.explode(within).alias("alpha"))
+    counted = near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id")
+    rows = {r.alpha: r.rows for r in counted.groupBy("alpha").agg(F.sum(F.col("a") * F.col("b")).alias("rows")).collect()}
+    every = staged(matching(cx, cy, near))
+    sizes = {r.alpha: r.size for r in every.groupBy("alpha").agg(F.sum("pairs").alias("size")).collect()}
+    took, out = (time.monotonic() - started) / len(alphas), []
+    for alpha in map(float, alphas):
+        pairs = every.filter(F.col("alpha") == alpha).drop("alpha")
+        dens = density(rows.get(alpha, 0), n)
+        out.append({"alpha": alpha, "beta": 1 - sizes.get(alpha, 0) / n if n else 0.0, "density": dens, "algorithm": choose_algorithm(dens, n), "duration": took, "pairs": pairs, "unmatched_x": unmatched(cx, pairs, "x_id"), "unmatched_y": unmatched(cy, pairs, "y_id")})
     return out
 
 
