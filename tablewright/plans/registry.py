@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import binning
 from ..operators import acceptance, bayesnet, faithfulness, filters, metrics, models, postprocess, privacy, profile, schema, transforms
 from ..sources.tables import table
-from . import birth, evaluate, selection
+from . import birth, evaluate, report, selection
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -703,3 +703,136 @@ def config_grid(spark, d):
 def random_top_per_group(spark, d):
     df = items(spark, d).withColumn("qbin", binning.cut(F.col("qty"), QTY_EDGES))
     return postprocess.top_per_group(df, "qbin", 50, 1).groupBy("qbin").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- more operators -----------------------------------------------------------------------------------------------
+_GRID = "(lo - 0.03 * (hi - lo))"
+
+
+@query(f", r AS (SELECT min(price) AS lo, max(price) AS hi FROM items) SELECT l_orderkey, line, greatest(0, least(15, floor((price - {_GRID}) / ((1.06 * (hi - lo)) / 16 + 1e-8))))::INT AS cell FROM items, r")
+def grid_cells(spark, d):
+    df = items(spark, d)
+    lo, hi = df.agg(F.min("price"), F.max("price")).first()
+    return df.select("l_orderkey", "line", bayesnet.grid_code(F.col("price"), lo, hi).alias("cell"))
+
+
+@query("SELECT l_orderkey, line, rank() OVER (ORDER BY qty) + (count(*) OVER (PARTITION BY qty) - 1) / 2 AS qty FROM items")
+def average_ranks(spark, d):
+    return profile.average_ranks(items(spark, d).select("l_orderkey", "line", "qty"), ["qty"])
+
+
+@query("SELECT 500::BIGINT AS n, 500::BIGINT AS different, 500::BIGINT AS known FROM items LIMIT 1")
+def exact_sample(spark, d):
+    """500 rows without replacement: as many different ones, all from the table."""
+    df = table(spark, d, "orders").select("o_orderkey")
+    got = privacy.sample(df, 500, 4)
+    return got.join(df.withColumn("known", F.lit(1)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.sum("known").alias("known"))
+
+
+@query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS known FROM items LIMIT 1")
+def sample_with_replacement(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey")
+    got = privacy.sample(df, 5000, 4, True)
+    return got.join(df.withColumn("known", F.lit(1)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.sum("known").alias("known"))
+
+
+@query("SELECT count(*) AS n FROM items")
+def doubled_uniques(spark, d):
+    """Half of the unique rows twice: the size stays."""
+    return privacy.double_uniques(items(spark, d).select("qty", "line", "disc", "stat")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT flag, stat FROM (SELECT DISTINCT flag FROM items), (SELECT DISTINCT stat FROM items)")
+def baseline_rows(spark, d):
+    """Independent columns make every combination, even those that the table lacks."""
+    return privacy.baseline(items(spark, d).select("flag", "stat"), 5000, "uniform", 1).distinct()
+
+
+@query("SELECT flag, stat, round(count(*) / (SELECT count(*) FROM items), 6) AS value FROM items GROUP BY flag, stat")
+def contingency_all(spark, d):
+    return profile.contingency(items(spark, d), "flag", "stat", "all").select("flag", "stat", r6("value").alias("value"))
+
+
+@query("""SELECT c AS "column", sum(v) FILTER (flag = 'A') AS "A", sum(v) FILTER (flag = 'N') AS "N", sum(v) FILTER (flag = 'R') AS "R" FROM (SELECT flag, unnest(['n', 'qty']) AS c, unnest([count(*)::DOUBLE, sum(qty)]) AS v FROM items GROUP BY flag) GROUP BY c""")
+def transposed(spark, d):
+    df = items(spark, d).groupBy("flag").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("qty").alias("qty"))
+    return profile.transposed(df, "flag").select(F.col("column"), "A", "N", "R")
+
+
+_PAIRED = ", p AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, p_retailprice AS price FROM part), m AS (SELECT abs(a.size - b.size) AS ds, abs(a.price - b.price) AS dp FROM p a JOIN p b ON b.id = a.id + 1) "
+
+
+def _paired(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    pairs = p.select(F.col("id").alias("x_id"), (F.col("id") + 1).alias("y_id"), F.lit(1).alias("pairs"))
+    return faithfulness.matched_costs(p, p, pairs, ["size", "price"])
+
+
+@query("WITH x AS (SELECT 1)" + _PAIRED + "SELECT ((ds > 0)::INT + (dp > 0)::INT)::INT AS changed, count(*) AS pairs FROM m GROUP BY 1")
+def matched_changes(spark, d):
+    """Each part against the next one: in how many columns they differ."""
+    return _paired(spark, d)[0]
+
+
+@query("WITH x AS (SELECT 1)" + _PAIRED + "SELECT round(avg(ds), 6) AS size_mean, max(ds) AS size_max, round(avg(dp), 6) AS price_mean, round(max(dp), 6) AS price_max FROM m")
+def matched_differences(spark, d):
+    return _paired(spark, d)[1].select(r6("size_mean").alias("size_mean"), "size_max", r6("price_mean").alias("price_mean"), r6("price_max").alias("price_max"))
+
+
+@query("SELECT least(disc, 8)::BIGINT AS g, line::BIGINT AS line, count(*) AS n FROM items GROUP BY ALL")
+def generalised_marginal(spark, d):
+    """Counts of line by the discount's first taxonomy level, where codes 8 to 10 are one."""
+    domain = bayesnet.Domain(["disc", "line"], [11, 8])
+    key = (bayesnet.Attribute(0, 1), bayesnet.Attribute(1))
+    got = bayesnet.marginals(bayesnet.cells(items(spark, d).select("disc", "line"), domain), domain, [key])[key]
+    return spark.createDataFrame([(g, l, int(n)) for g, row in enumerate(got.tolist()) for l, n in enumerate(row) if n], "g long, line long, n long")
+
+
+@query("SELECT half AS name, qbin AS qty_bin, round(avg(price), 6) AS mean, round(median(price), 6) AS median, count(price) AS n FROM items GROUP BY ALL")
+def group_means(spark, d):
+    x, y = halves(spark, d, ["qty", "price"])
+    out = report.group_means(report.stacked({"real": x, "synth": y}, {"qty": QTY_EDGES}), "price", "qty_bin")
+    return out.withColumns({"mean": r6("mean"), "median": r6("median")})
+
+
+@query("SELECT qty, disc, 0::BIGINT AS processed, count(*) AS synth, count(*) FILTER (price > 50000) AS rejected FROM items i WHERE half = 'synth' AND NOT EXISTS (SELECT 1 FROM items r WHERE r.half = 'real' AND r.qty = i.qty AND r.disc = i.disc AND r.price < 5000) GROUP BY qty, disc")
+def unseen_pairs(spark, d):
+    x, y = halves(spark, d)
+    return report.unseen_pairs(x.filter("price < 5000"), y, y.filter("price > 50000"), "qty", "disc")
+
+
+@query("SELECT half AS name, round(regr_r2(price, qty), 6) AS r2 FROM items GROUP BY half")
+def regressions(spark, d):
+    x, y = halves(spark, d, ["qty", "price"])
+    return report.regressions({"real": x, "synth": y}).select("name", r6("r2").alias("r2"))
+
+
+@query()
+def propensity(spark, d):
+    got = metrics.propensity(*numbers(spark, d, ["line", "disc", "qty"]), trees=10)
+    return one(spark, **got)
+
+
+@query()
+def outlier_factors(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("nation"), (F.col("s_acctbal") / 100).alias("bal"))
+    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("double").alias("nation"), F.lit(0.0).alias("bal"))
+    return privacy.outlier_factor(s, c, ["nation", "bal"], 5)
+
+
+@query()
+def cheapest_assignment(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("double").alias("k"), F.col("n_regionkey").cast("double").alias("r"))
+    return spark.createDataFrame(faithfulness.minimum_cost_assignment(n, n.select((24 - F.col("k")).alias("k"), "r"), ["k", "r"], {"r": 10}), "x int, y int, cost double")
+
+
+@query()
+def network_transcript(spark, d):
+    df = items(spark, d).select("line", "disc", "stat")
+    _, net = models.fit_sample(df, {"line": (0, 7), "disc": (0, 10), "stat": (0, 1)}, "PBNDegree", 1.0, 0.0, {"degree": 2}, df.columns)
+    return net.log(spark)
+
+
+@query()
+def copula_rows(spark, d):
+    return models.gaussian_copula(items(spark, d).select("qty", "price", "disc"), 1000, 1)
