@@ -83,6 +83,14 @@ def test_nothing_is_left_after_removal(spark, block_words):
         assert r.contaminated or r.text == texts[r.id]
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (None, None, 6, "y")], "doc_id long, text string, n_words int, spans string")
+    bench = spark.createDataFrame([(1, "A b", "z")], "item_id long, text string, doc_id string")
+    got = {r.id: (r.n_words, len(r.spans)) for r in dc.find_spans(docs, bench).collect()}
+    assert got == {1: (2, 1), None: (0, 0)}
+    assert {r.id: r.rest.spans for r in dc.decontaminate(docs, bench, carry=("spans",)).collect()} == {1: "x", None: "y"}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
