@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.binning import cut
 from ..sources.tables import staged
-from .profile import average_ranks, paired_histogram, tagged
+from .profile import average_ranks, ordered, paired_histogram, tagged
 
 RESULT = "val double, name string, metric string, target string, binning boolean, `by` string, targets array<string>"
 ONE_WAY = ("nan", "mean", "median", "std", "max", "min", "q1", "q3", "cdf", "chi2", "wasserstein")
@@ -84,11 +84,9 @@ def value_cells(x: DataFrame, y: DataFrame, column: str) -> DataFrame:
 
 
 def cdf_gaps(cells: DataFrame, nx: int, ny: int) -> DataFrame:
-    """value, gap between the two distribution functions from it on, width to the next value. The window is over distinct
-    values in order."""
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("nx").over(upto) / F.lit(float(nx)) - F.sum("ny").over(upto) / F.lit(float(ny)))
-    return cells.select("value", gap.alias("gap"), (F.lead("value").over(Window.orderBy("value")) - F.col("value")).alias("width"))
+    """value, gap between the two distribution functions from it on, width to the next value."""
+    gap = F.abs(F.col("upto_nx") / F.lit(float(nx)) - F.col("upto_ny") / F.lit(float(ny)))
+    return ordered(cells, "value", ["nx", "ny"]).select("value", gap.alias("gap"), (F.col("next") - F.col("value")).alias("width"))
 
 
 def column_cells(x: DataFrame, y: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,15 +99,14 @@ def column_cells(x: DataFrame, y: DataFrame, columns: Sequence[str]) -> DataFram
 
 def distances(x: DataFrame, y: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """Of each column the Kolmogorov-Smirnov statistic and its p-value, and the transport distance of the values cut to
-    integers times n. One job; a column's distinct values are ordered in one window."""
+    integers times n: all columns together, over their distinct values in order."""
     cells = column_cells(x, y, columns)
     whole = cells.withColumn("value", F.col("value").cast("long").cast("double")).groupBy("column", "value").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"))
-    both = cells.withColumn("kind", F.lit("ks")).unionByName(whole.withColumn("kind", F.lit("w")))
-    over = Window.partitionBy("kind", "column").orderBy("value")
-    upto, all_ = over.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("kind", "column")
-    tx, ty = F.sum("nx").over(all_), F.sum("ny").over(all_)
-    gap = F.abs(F.try_divide(F.sum("nx").over(upto), tx) - F.try_divide(F.sum("ny").over(upto), ty))
-    gaps = both.select("kind", "column", gap.alias("gap"), (F.lead("value").over(over) - F.col("value")).alias("width"), tx.alias("tx"), ty.alias("ty"))
+    both = staged(cells.withColumn("kind", F.lit("ks")).unionByName(whole.withColumn("kind", F.lit("w"))))
+    totals = both.groupBy(F.col("kind").alias("k"), F.col("column").alias("c")).agg(F.sum("nx").alias("tx"), F.sum("ny").alias("ty"))
+    sums = ordered(both, "value", ["nx", "ny"], ["kind", "column"]).join(F.broadcast(totals), (F.col("kind") == F.col("k")) & (F.col("column") == F.col("c")))
+    gap = F.abs(F.try_divide("upto_nx", "tx") - F.try_divide("upto_ny", "ty"))
+    gaps = sums.select("kind", "column", gap.alias("gap"), (F.col("next") - F.col("value")).alias("width"), "tx", "ty")
     rows = {(r.kind, r.column): r for r in gaps.groupBy("kind", "column").agg(F.max("gap").alias("d"), F.sum(F.col("gap") * F.col("width")).alias("w"), F.max("tx").alias("tx"), F.max("ty").alias("ty")).collect()}
     out = {}
     for c in columns:
@@ -246,8 +243,8 @@ def kendall(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str,
     if not size:
         return dict.fromkeys(pairs)
     sizes = F.create_map(*(F.lit(v) for kv in size.items() for v in kv))
-    place = F.floor((F.row_number().over(Window.partitionBy("k").orderBy("a")) - 1) / sizes[F.col("k")])
-    blocks = cells.select("k", "a").distinct().withColumn("block", place)
+    values = ordered(cells.select("k", "a").distinct().withColumn("one", F.lit(1)), "a", ["one"], ["k"])
+    blocks = values.select("k", "a", F.floor((F.col("upto_one") - 1) / sizes[F.col("k")]).alias("block"))
     blocked = staged(cells.join(blocks, ["k", "a"]))
     known = blocked.groupBy("k", "block", "b").agg(F.sum("n").alias("n"))
     grid = known.select("k", "block").distinct().join(known.select("k", "b").distinct(), "k").join(known, ["k", "block", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import cut
+from ..sources.tables import staged
 
 MODES, FUNCS = ("diff", "ratio"), ("max", "min", "mean", "rmse")
 
@@ -162,23 +163,55 @@ def co_occurrence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return df.agg(*both).select(F.explode(cells).alias("c")).select("c.*")
 
 
+#: Rows of a key that one task puts in order.
+ORDERED_ROWS = 200_000
+
+
+def ordered(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """df with `upto_<column>`, the running sums of columns in the order of a numeric column with distinct values, and
+    `next`, the next value; for each key.
+
+    More than `rows` rows are cut into ranges at approximate quantiles; each range is ordered in a task of its own, and
+    the sums and first values of the ranges, a row for each, carry over.
+    """
+    rows, keys, df = rows or ORDERED_ROWS, list(keys), staged(df)
+    n = df.count()
+    window = lambda *by: Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
+    sums = lambda w: {f"upto_{c}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in columns}
+    if n <= rows:
+        w = window(*keys)
+        return df.withColumns({**sums(w), "next": F.lead(order).over(w)})
+    cuts = -(-n // rows)
+    points = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
+    edges = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.percentile_approx(order, points, 10_000).alias("_edges"))
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys] or F.lit(True)
+    ranged = df.join(F.broadcast(edges), same("_")).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col(order)))).drop("_edges", *(f"_{k}" for k in keys))
+    ranged = staged(ranged)
+    totals = ranged.groupBy(*(F.col(k).alias(f"o_{k}") for k in keys), F.col("_range").alias("o_range")).agg(F.min(order).alias("_first"), *(F.sum(c).alias(f"_{c}") for c in columns))
+    over = Window.partitionBy(*([f"o_{k}" for k in keys] or [F.lit(0)])).orderBy("o_range")
+    carry = totals.select(*(f"o_{k}" for k in keys), "o_range", F.lead("_first").over(over).alias("_after"), *(F.coalesce(F.sum(f"_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_{c}") for c in columns))
+    w = window(*keys, "_range")
+    on = [*([] if not keys else same("o_")), F.col("_range") == F.col("o_range")]
+    out = ranged.withColumns({**sums(w), "next": F.lead(order).over(w)}).join(F.broadcast(carry), on)
+    out = out.withColumns({**{f"upto_{c}": F.col(f"upto_{c}") + F.col(f"_{c}") for c in columns}, "next": F.coalesce("next", "_after")})
+    return out.drop("_range", "o_range", "_after", *(f"_{c}" for c in columns), *(f"o_{k}" for k in keys))
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column's average ranks, from counts of its distinct values: the window runs over those, not over rows."""
+    """Each column's average ranks, from counts of its distinct values: those are ordered, not the rows."""
     out = df
     for c in columns:
-        counts = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select("_v", (below + (F.col("_n") + 1) / 2).alias("_r"))
-        out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_n", "_r")
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        ranks = ordered(counts, "_v", ["_n"]).select("_v", (F.col("upto__n") - (F.col("_n") - 1) / 2).alias("_r"))
+        out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
     return out
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """value, n, share of rows at or below it."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.withColumn("upto", F.sum("n").over(upto)).crossJoin(F.broadcast(total)).select("value", "n", (F.col("upto") / F.col("total")).alias("share"))
+    return ordered(counts, "value", ["n"]).crossJoin(F.broadcast(total)).select("value", "n", (F.col("upto_n") / F.col("total")).alias("share"))
 
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:

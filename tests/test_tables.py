@@ -42,6 +42,20 @@ def test_cells_and_completion(spark):
     assert profile.min_marginal(y.filter("k IS NOT NULL")) == 3
 
 
+@pytest.mark.parametrize("rows", [None, 7])
+def test_ordered_sums(spark, rows):
+    rng = random.Random(6)
+    data = [(k, float(v), rng.randrange(5)) for k in "ab" for v in rng.sample(range(1000), 40)] + [(None, 1.0, 2)]
+    df = spark.createDataFrame(data, "k string, v double, n int")
+    for keys in ([], ["k"]):
+        source = df if keys else df.filter("k = 'a'")
+        got = {(r.k, r.v): (r.upto_n, r.next) for r in profile.ordered(source, "v", ["n"], keys, rows).collect()}
+        for key in {"a"} if not keys else {"a", "b", None}:
+            mine = sorted((v, n) for k, v, n in data if k == key)
+            for i, (v, _) in enumerate(mine):
+                assert got[key, v] == (sum(n for _, n in mine[: i + 1]), mine[i + 1][0] if i + 1 < len(mine) else None)
+
+
 def test_mitigations_and_samples(spark):
     df = private_table(spark)
     assert privacy.sample(df, 4, 1).count() == 4 and privacy.sample(df, 25, 1, True).count() == 25 and privacy.sample(df, 0).count() == 0
