@@ -70,9 +70,25 @@ def replace_rows(df: DataFrame, condition: str, new: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in an order, for an n that fits one task."""
     return df.orderBy(order).limit(n)
 
 
+def any_n(df: DataFrame, n: int) -> DataFrame:
+    """n rows, the same on every read, without gathering them in one task as limit() does: rows are numbered within their
+    partitions, and the sizes of the partitions (a number each) say where to stop."""
+    from ..sources.tables import staged
+
+    parts = staged(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before, start = {}, 0
+    for r in parts.groupBy("_part").count().orderBy("_part").collect():
+        before[r["_part"]], start = start, start + r["count"]
+    if not before:
+        return df.limit(0)
+    starts = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    return parts.filter(F.col("_at") + starts[F.col("_part")] < n).drop("_part", "_at")
+
+
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """Dense row numbers from 0 in a total order: range-partitioned, numbered in each partition, offset by the sizes of
     the partitions before (one row each on the driver)."""

@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
-from .filters import split_by
+from .filters import any_n, split_by
 from .privacy import sample
 from .profile import replicated
 
 
 def reject(df: DataFrame, constraints: Sequence[Column], n: int | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows that meet the constraints (the first n in an order, RuntimeError if there are fewer), and those that do not."""
+    """Rows that meet the constraints (n of them, the first in an order if one is given; RuntimeError if there are fewer), and those that do not."""
     kept, lost = split_by(df, constraints)
     if n is not None:
-        have = kept.limit(n).count()
+        have = kept.count()
         if have < n:
             raise RuntimeError(f"{have} rows meet the constraints, {n} are needed")
-        kept = kept.orderBy(order).limit(n) if order else kept.limit(n)
+        kept = any_n(kept.orderBy(order) if order else kept, n)
     return kept, lost
 
 

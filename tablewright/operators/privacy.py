@@ -13,6 +13,10 @@ from .filters import duplicated
 from .profile import frequency_of_frequencies, histogram, n_histograms, replicated
 
 
+#: Ranges of random keys in a sample of exact size.
+RANGES = 4096
+
+
 def uniques(df: DataFrame, up_to: int) -> DataFrame:
     return frequency_of_frequencies(histogram(df), up_to)
 
@@ -116,12 +120,21 @@ def double_uniques(df: DataFrame, replace: bool = False, seed: int = 0) -> DataF
 
 
 def sample(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
-    """Exactly n rows. Without replacement by the n smallest of random keys; with replacement each row's number of
-    draws follows from the numbers drawn, which are spread over tasks as row numbers and joined."""
+    """Exactly n rows. Without replacement those with the n smallest random keys: the counts of RANGES ranges of keys
+    say which range holds the n-th, and only that one is put in order. With replacement each row's number of draws
+    follows from the numbers drawn, which are spread over tasks as row numbers and joined."""
     if n <= 0:
         return df.limit(0)
     if not replace:
-        return staged(df.withColumn("_u", F.rand(seed)).orderBy("_u").limit(n).drop("_u"))
+        keyed = staged(df.withColumn("_u", F.rand(seed))).withColumn("_r", F.floor(F.col("_u") * RANGES))
+        before, last = 0, RANGES
+        for r in keyed.groupBy("_r").count().orderBy("_r").collect():
+            if before + r["count"] > n:
+                last = r["_r"]
+                break
+            before += r["count"]
+        rest = keyed.filter(F.col("_r") == last).orderBy("_u").limit(max(0, n - before))
+        return staged(keyed.filter(F.col("_r") < last).unionByName(rest).drop("_u", "_r"))
     numbered = staged(df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     parts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.min("_i").alias("lo")).orderBy("_p").collect()
     total = sum(r.c for r in parts)
@@ -134,12 +147,13 @@ def sample(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataF
 
 def _row_of(parts) -> Column:
     """The row number of the draw-th row, from the first row number and size of each partition."""
-    out, start, d = None, 0, F.col("_d")
+    starts, start = [], 0
     for r in parts:
-        step = (d - F.lit(start) + F.lit(r.lo)).cast("long")
-        out = F.when(d < start + r.c, step) if out is None else out.when(d < start + r.c, step)
+        starts.append(start)
         start += r.c
-    return out
+    at = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("_d")))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    return (F.col("_d") - pick(starts) + pick([r.lo for r in parts])).cast("long")
 
 
 def distances(x: DataFrame, y: DataFrame, columns: Sequence[str], p: int = 1) -> DataFrame:

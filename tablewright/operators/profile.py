@@ -118,8 +118,8 @@ def frequency_of_frequencies(counts: DataFrame, up_to: int, column: str = "n") -
 
 
 def min_marginal(df: DataFrame) -> int:
-    """The least count of any value of any column. All columns in one pass: a map of each row's values, exploded, would
-    copy the table once per column, so each column's counts are partial sums of grouping sets over the row's cells."""
+    """The least count of any value of any column: distinct rows are counted first, then their values, all columns in one
+    pass."""
     cells = histogram(df)
     pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns))
     return cells.select("n", F.explode(pairs).alias("p")).filter("p.v IS NOT NULL").groupBy("p").agg(F.sum("n").alias("n")).agg(F.min("n")).first()[0]

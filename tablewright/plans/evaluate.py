@@ -82,7 +82,7 @@ def compare(tables: dict[str, DataFrame], pairs: dict[str, tuple[str, str]], dom
 
 def subsample_ids(n: int, fraction: float, seed: int, spark) -> DataFrame:
     """int(n * fraction) of the row numbers, without replacement."""
-    return staged(spark.range(n).withColumnRenamed("id", "row_id").withColumn("_u", F.rand(seed)).orderBy("_u").limit(int(n * fraction)).drop("_u"))
+    return privacy.sample(spark.range(n).withColumnRenamed("id", "row_id"), int(n * fraction), seed)
 
 
 def utility(real: DataFrame, synth: DataFrame, processed: DataFrame, domain: Domain, fraction: float, seed: int = 0, minimal: bool = False, analyses: Sequence[TwoWay] = (), comparisons: Sequence[str] = tuple(COMPARISONS)) -> DataFrame:

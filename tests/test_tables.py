@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import acceptance, bayesnet, faithfulness, mechanisms, metrics, models, postprocess, privacy, profile
+from tablewright.operators import acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile
 from tablewright.plans import birth, evaluate
 
 
@@ -59,6 +59,11 @@ def test_ordered_sums(spark, rows):
 def test_mitigations_and_samples(spark):
     df = private_table(spark)
     assert privacy.sample(df, 4, 1).count() == 4 and privacy.sample(df, 25, 1, True).count() == 25 and privacy.sample(df, 0).count() == 0
+    ids = spark.range(5000)
+    for n in (1, 2500, 4999, 5000, 6000):
+        got = [r.id for r in privacy.sample(ids, n, 3).collect()]
+        assert len(set(got)) == len(got) == min(n, 5000)
+        assert filters.any_n(ids, n).distinct().count() == min(n, 5000)
     drawn = {tuple(r) for r in privacy.sample(df, 400, 2, True).collect()}
     assert drawn == {tuple(r) for r in df.collect()}
     assert privacy.resample_uniques(df).groupBy("a", "b", "c").count().filter("count = 1").count() == 0
