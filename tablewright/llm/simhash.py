@@ -134,6 +134,13 @@ class Forest:
             x = self.up[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        """Of all rows at once."""
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
     def link(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         self.up[max(a, b)] = min(a, b)
@@ -149,7 +156,13 @@ def _links(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, side: np.ndarray,
     while len(at):
         to = at + lag
         near = (np.bitwise_count(fp[at] ^ fp[to]) <= threshold) & (home[at] | home[to]) & ((side[at] != side[to]) | (side[at] < 0))
-        for i, j in zip(at[near].tolist(), to[near].tolist()):
+        i_all, j_all = at[near], to[near]
+        if len(i_all) > 256:
+            # In a dense cell most links are within a component by now.
+            root = forest.roots()
+            apart = root[i_all] != root[j_all]
+            i_all, j_all = i_all[apart], j_all[apart]
+        for i, j in zip(i_all.tolist(), j_all.tolist()):
             if forest.link(i, j):
                 a.append(i)
                 b.append(j)

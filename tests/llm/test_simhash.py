@@ -92,3 +92,16 @@ def test_edge_cases(spark):
     got = sorted(((r.id, r.component_id) for r in simhash.near_groups(docs).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 4), (7, 7)], key=str)
     assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_dense_cells_stay_fast():
+    """A cell of thousands of rows that are nearly all linked: the links make one tree."""
+    import time
+
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = list({base ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(24) for b in range(a) for c in range(b)})
+    n = len(fps)
+    began = time.time()
+    a, b = simhash._links(np.zeros(n, dtype=np.int64), np.array(fps, dtype=np.uint64), np.ones(n, dtype=bool), np.full(n, -1), 3)
+    assert len(a) == n - 1 and time.time() - began < 20
