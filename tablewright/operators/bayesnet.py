@@ -143,29 +143,22 @@ def sensitivity(n: int, score: str = "R") -> float:
 
 
 def parent_sets(domain: Domain, placed: Sequence[int], budget: float, by_degree: bool) -> list[tuple[Attribute, ...]]:
-    """Maximal sets of generalised parents within a budget: of cells, or of parents.
+    """Maximal sets of generalised parents within a budget: of cells (at least one must be left), or of parents.
 
-    Each placed column, the last first, is taken at its finest level that fits with the rest, or left out; a set is kept
-    without a column only if it was not kept with it.
+    The last placed column takes part at its finest level, at a coarser one, or not at all; each choice leaves a budget for
+    the columns before it. A set of earlier columns goes with the first choice that affords it, and with no later one.
     """
-    if not by_degree and budget < 1 or by_degree and budget < 0:
+    if budget < (0 if by_degree else 1):
         return []
     if not placed:
         return [()]
-    rest, last = placed[:-1], placed[-1]
-    out, seen = [], set()
-    for level in range(1 if by_degree else domain.depth(last)):
-        a = Attribute(last, level)
-        left = budget - 1 if by_degree else budget / domain.width(a)
-        for z in parent_sets(domain, rest, left, by_degree):
-            if z not in seen:
-                seen.add(z)
-                out.append((*z, a))
-    for z in parent_sets(domain, rest, budget, by_degree):
-        if z not in seen:
-            seen.add(z)
-            out.append(z)
-    return out
+    levels = [Attribute(placed[-1], k) for k in range(1 if by_degree else domain.depth(placed[-1]))]
+    choices = [((a,), budget - 1 if by_degree else budget / domain.width(a)) for a in levels] + [((), budget)]
+    best: dict[tuple[Attribute, ...], tuple[Attribute, ...]] = {}
+    for own, left in choices:
+        for earlier in parent_sets(domain, placed[:-1], left, by_degree):
+            best.setdefault(earlier, own)
+    return [earlier + own for earlier, own in best.items()]
 
 
 def cell_bound(n: int, d: int, theta: float, epsilon: float, most: float = 2e12) -> float:
