@@ -6,7 +6,7 @@ of each document. Nothing is shuffled and no text leaves its task. Words that no
 the index, since no window can cross them; so its alphabet is the benchmark's.
 
 The benchmark is taken in blocks of at most BLOCK_WORDS words, which are all that is sent to the executors; more
-blocks are more passes, chained in one stage, so its size has no limit.
+blocks are more passes, a few at a time in one stage, so its size has no limit.
 
 Defined cases: a null text has no words and no span; an item without words, or with a null id, is ignored; items
 that share an id are one item; a window that several items have counts for each; a document longer than a shard is
@@ -31,6 +31,8 @@ WINDOW = 10
 SHARD = 2 << 20
 #: Words of benchmark items in a block.
 BLOCK_WORDS = 1 << 20
+#: Passes in one stage, each with a Python worker of its own; then the rows are written to the shared folder.
+CHAIN = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -219,7 +221,8 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, bloc
 def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """id, n_words, spans (merged; words and UTF-8 bytes), items (ids as strings), and with_text the text."""
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    for phrases in blocks(benchmark, item_col, item_text_col, window, block_words):
+    for k, phrases in enumerate(blocks(benchmark, item_col, item_text_col, window, block_words)):
+        out = written(out) if k and k % CHAIN == 0 else out
         out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(phrases), shard), out.schema)
     return out if with_text else out.drop("text")
 
@@ -246,7 +249,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passes = [sc.broadcast(p) for p in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))]
     while True:
         again = out if len(passes) == 1 else out.withColumn("contaminated", F.lit(False))
-        for phrases in passes:
+        for k, phrases in enumerate(passes):
+            again = written(again) if k and k % CHAIN == 0 else again
             again = again.mapInArrow(_cleaning(phrases, shard), out.schema)
         if len(passes) == 1:
             return again
