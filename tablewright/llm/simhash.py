@@ -18,6 +18,7 @@ that repeat are linked; an empty table gives an empty result. Only the two named
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, join_groups, table, written
+from .common import HOT_SHARE, drop, join_groups, table, written
 from .graph import components
 
 SHINGLE = 3
@@ -237,95 +238,164 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: The near-duplicate rule of the pipeline: five-word shingles, and the share of them that two texts have in common.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of the different words, with a seed each: a pair is a candidate if any of them links it.
-SEEDS = (42, 43, 44, 45)
 #: Ids (about 40 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 250_000
-
-
-def word_prints(text: str | None, seeds: tuple[int, ...] = SEEDS) -> tuple[int, list[int]]:
-    """A hash of the word sequence, and a fingerprint of the different words for each seed."""
-    whole, words = xxhash.xxh64(), set()
+#: Texts in which common shingles are looked for, and how many of those are put last in the order of shingles. The order
+#: makes lists of texts short; whatever it is, no pair is missed.
+ORDER_TEXTS, ORDER_MOST = 20_000, 200_000
+#: Pairs a row up to which all pairs of a list are made.
+PAIRS_A_ROW = 8
+#: Rows of one side in a task's share of a long list.
+LIST_PART = 64
+
+
+def word_sequence(text: str | None) -> int:
+    """A hash of the sequence of words."""
+    whole = xxhash.xxh64()
     for part in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
         for w in part:
             whole.update(w + b" ")
-        words.update(part)
-    out = []
-    for seed in seeds:
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
-        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(h) else np.zeros(64, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return whole.intdigest(), out
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """id, keep_id of the documents that are near-duplicates of the document that stays for their group; others, and
-    those that stay, are not returned.
-
-    Copies that edit a few words have few different words more or less, and so close fingerprints of their different
-    words, where those of their shingles are far apart. Groups are the components over links by any seed; the
-    document with the least id stays, and a document goes if it has the same words in the same order, or if the
-    Jaccard similarity of its shingles to those of the document that stays is at least `similarity`, counted exactly.
-    Rows that share an id share one fate.
+    return whole.intdigest()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle, SEED)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets with the similarity, each has a share of `similarity` of its elements in the other, so their first
+    elements in any common order, all but that share and one more, have one in common."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, keep_id of the documents that are near-duplicates of a document that stays; others, and those that stay,
+    are not returned.
+
+    In order of ids, a text stays unless one before it that stays has the same words in the same order, or a Jaccard
+    similarity of their shingles of at least `similarity`, counted exactly. So what goes is similar to what stays, and
+    no two that stay are similar. Candidates are exact too: texts that share one of the first shingles of each
+    (prefix_length), in an order that puts common ones last. Rows that share an id share one fate.
+
+    While lists of texts with a shingle are long, rounds decide the texts that are first in all their lists, each
+    against the rest of its lists; then all pairs are made of what is undecided.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, names = source.schema["id"].dataType.simpleString(), [f"f{k}" for k in range(len(seeds))]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    kind = source.schema["id"].dataType.simpleString()
+    common = docs.sparkSession.sparkContext.broadcast(_common(source, shingle))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [word_prints(x.as_py(), seeds) for x in part.column(1)]
-                same = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), *(pa.array([g[1][k] for g in got], pa.int64()) for k in range(len(seeds)))], names=["id", "same", *names])
-
-    rows = written(source.filter("id IS NOT NULL").mapInArrow(prints, f"id {kind}, same long, {', '.join(f'{n} long' for n in names)}"))
-    classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names)))
-    n_classes = classes.count()
-    # Nodes are classes and fingerprints. A class is tied to a fingerprint only if another class has that too, or a
-    # link leads to it, so the graph has the documents near others alone.
-    node = lambda k, c: F.xxhash64(F.lit(k), c)
-    own = node(-1, F.col("same"))
-    edges = []
-    for k, n in enumerate(names):
-        shared = written(classes.groupBy(F.col(n).alias("fp")).agg(F.count(F.lit(1)).alias("m")))
-        found = written(links(shared.select("fp"), threshold))
-        linked = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct().withColumn("linked", F.lit(True))
-        touched = written(shared.join(linked, "fp", "left").filter("m > 1 OR linked").select("fp", "m"))
-        edges.append(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b")))
-        tied = join_groups(classes.select("same", F.col(n).alias("fp")), touched, ["fp"], "m", n_classes)
-        edges.append(tied.select(own.alias("a"), node(k, F.col("fp")).alias("b")))
-    roots = written(components(written(reduce(DataFrame.union, edges))))
-    members = written(classes.withColumn("own", own).join(roots, F.col("own") == F.col("node")).select("same", "rep", "root"))
-    groups = written(members.groupBy("root").agg(F.min("rep").alias("stays"), F.count(F.lit(1)).alias("m")))
-    grouped = written(join_groups(members, groups, ["root"], "m", members.count()).filter("m > 1").select("root", "same", "rep", "stays"))
-    close = _similar(source, grouped, kind, shingle, similarity)
-    gone = close.select("same", F.col("stays").alias("keep_id"))
+                part, same, size, first = batch.slice(at, 256), [], [], []
+                for x in part.column(1):
+                    h = shingle_set(x.as_py(), shingle)
+                    rank = np.zeros(len(h), dtype=np.int64)
+                    if len(often):
+                        k = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                        rank = np.where(often[k] == h, times[k], 0)
+                    same.append(word_sequence(x.as_py()))
+                    size.append(len(h))
+                    first.append(h[np.lexsort((h, rank))[: prefix_length(len(h), similarity)]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(same, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["id", "same", "size", "first"])
+
+    rows = written(source.mapInArrow(prints, f"id {kind}, same long, size long, first array<long>"))
+    classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("first").alias("first")))
+    lists = classes.select(F.explode("first").alias("h"), "same", "rep", "size")
+    lengths = written(lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    total = classes.agg(F.sum(F.size("first"))).first()[0] or 0
+    lists = written(join_groups(lists, lengths, ["h"], "m", total).drop("m"))
+    gone, before = [], None
+    while True:
+        heads = written(lists.groupBy("h").agg(F.min(F.struct("rep", "same")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+        n, pairs = heads.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - 1) / 2"))).first()
+        if not n or pairs <= PAIRS_A_ROW * n or (before is not None and pairs > 0.9 * before):
+            break
+        before = pairs
+        longer = written(join_groups(lists, heads, ["h"], "m", n).select("same", "rep", "size", (F.col("head.same") == F.col("same")).alias("leads"), F.col("head.same").alias("a"), F.col("head.rep").alias("a_rep")))
+        # First in all lists: no undecided text before it can be similar.
+        tops = written(longer.groupBy("same").agg(F.min("leads").alias("top"), F.first("size").alias("a_size")).filter("top").select(F.col("same").alias("a"), "a_size"))
+        met = longer.filter("not leads").select("a", "a_rep", F.col("same").alias("b"), "rep", "size").distinct()
+        sizes = written(met.groupBy("a").agg(F.count(F.lit(1)).alias("m")).join(tops, "a"))
+        met = join_groups(met, sizes, ["a"], "m", n).filter(_sizes_fit(similarity)).select("a", "a_rep", "b")
+        close = written(_verified(source, classes, written(met), shingle, similarity))
+        gone.append(written(close.groupBy("b").agg(F.min("a_rep").alias("keep_id")).withColumnRenamed("b", "same")))
+        decided = tops.select(F.col("a").alias("same")).union(gone[-1].select("same"))
+        old, lists = lists, written(lists.join(F.broadcast(decided) if decided.count() <= BROADCAST_IDS else decided.hint("shuffle_merge"), "same", "left_anti"))
+        for x in (old, heads, longer):
+            drop(x)
+    if n:
+        # All pairs of each list; a long one is dealt out, in parts of one side against all of the other.
+        parts = F.ceil(F.col("m") / LIST_PART).cast("int")
+        both = join_groups(lists, heads.select("h", "m"), ["h"], "m", n).withColumn("parts", parts)
+        one = both.select("h", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("part"), F.col("same").alias("a"), F.col("rep").alias("a_rep"), F.col("size").alias("a_size"))
+        other = both.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("same").alias("b"), "rep", "size")
+        met = one.join(other.hint("shuffle_merge"), ["h", "part"]).filter((F.col("a_rep") < F.col("rep")) | ((F.col("a_rep") == F.col("rep")) & (F.col("a") < F.col("b")))).filter(_sizes_fit(similarity))
+        gone += _in_order(written(_verified(source, classes, written(met.select("a", "a_rep", "b").distinct()), shingle, similarity)))
+    gone = reduce(DataFrame.union, gone) if gone else None
     # Copies go with the text they repeat: first all but the first of each class, then whole classes.
     copies = join_groups(rows.select("id", "same"), classes.select("same", "rep", "n"), ["same"], "n", rows.count())
+    if gone is None:
+        return copies.select("id", F.col("rep").alias("keep_id")).filter("id <> keep_id").distinct()
     copies = copies.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "same", "left")
     return copies.select("id", F.coalesce("keep_id", "rep").alias("keep_id")).filter("id <> keep_id").distinct()
 
 
-def _similar(source: DataFrame, grouped: DataFrame, kind: str, shingle: int, similarity: float) -> DataFrame:
-    """same, stays of the classes whose shingles are similar to those of the document that stays. Each shingle of a
-    grouped text meets those of one document only, on group and shingle, so a large group is no hot key."""
-    wanted = grouped.select(F.col("rep").alias("id"), "root", "same", (F.col("rep") == F.col("stays")).alias("first"))
-    wanted = F.broadcast(wanted) if grouped.count() <= BROADCAST_IDS else wanted.hint("shuffle_merge")
+def _sizes_fit(similarity: float):
+    return F.least("size", "a_size") >= F.lit(similarity) * F.greatest("size", "a_size")
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that are common in a sample of the texts, and how many of it have each."""
+    share = max(1, source.count() // ORDER_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                parts = [np.unique(h) for h in shingle_hashes(batch.column("text")[i].as_py(), shingle, SEED)]
-                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[i].as_py()] * len(h), t) for c, t in (("root", pa.int64()), ("same", pa.int64()), ("first", pa.bool_()))), pa.array(h.view(np.int64)), pa.array([len(h)] * len(h), pa.int64())], names=["root", "same", "first", "h", "size"])
-
-    found = written(source.join(wanted, "id").select("text", "root", "same", "first").mapInArrow(shingles, "root long, same long, first boolean, h long, size long"))
-    first = found.filter("first").select("root", "h", F.col("size").alias("of")).distinct()
-    shared = found.filter("not first").distinct().join(first.hint("shuffle_merge"), ["root", "h"])
-    counts = shared.groupBy("same").agg(F.count(F.lit(1)).alias("both"), F.min("size").alias("size"), F.min("of").alias("of"))
-    near = counts.filter(F.col("both") >= similarity * (F.col("size") + F.col("of") - F.col("both"))).select("same")
-    return written(near.join(grouped, "same").select("same", "stays"))
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["h"])
+
+    sample = source.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text")
+    found = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()
+    h = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r[1] for r in found], dtype=np.int64)[order]
+
+
+def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, a_rep, b) of classes that are similar, by all their shingles."""
+    wanted = written(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct().join(classes.select("same", "rep"), "same").select(F.col("rep").alias("id"), F.col("same").alias("wanted")))
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_merge")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                # An id may have several texts.
+                own = [(w, x) for w, x in zip(part.column(1).to_pylist(), part.column(0).to_pylist()) if np.uint64(word_sequence(x)).view(np.int64) == w]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.int64()), pa.array([shingle_set(x, shingle).view(np.int64) for _, x in own], pa.list_(pa.int64()))], names=["same", "set"])
+
+    found = written(source.join(some, "id").select("text", "wanted").mapInArrow(sets, "same long, set array<long>").dropDuplicates(["same"]))
+    total = pairs.count()
+    for side in "ab":
+        of = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")))
+        of = of.join(found.select(F.col("same").alias(side), F.col("set").alias(f"set_{side}")), side)
+        pairs = join_groups(pairs, of, [side], "m", total).drop("m")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.filter(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "a_rep", "b")
+
+
+def _in_order(edges: DataFrame) -> list[DataFrame]:
+    """edges(a, a_rep, b), a before b -> tables same, keep_id of what goes: in rounds, what has nothing undecided before
+    it stays, and what is linked to it goes."""
+    out = []
+    while not edges.isEmpty():
+        tops = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out.append(written(edges.join(tops, "a").groupBy("b").agg(F.min("a_rep").alias("keep_id")).withColumnRenamed("b", "same")))
+        off = out[-1].select("same")
+        edges = written(edges.join(off.withColumnRenamed("same", "b"), "b", "left_anti").join(off.withColumnRenamed("same", "a"), "a", "left_anti"))
+    return out
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

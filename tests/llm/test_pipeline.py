@@ -89,3 +89,49 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert 501 not in clean and phrase not in clean[500].text and all(clean[i].text == t for i, t in rows[:200])
     mixed = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in mixed} >= {i for i in range(200)} and abs(sum(r.taken for r in mixed) - mixed[0].target) < 1
+
+
+def edited(rng, kind):
+    """A text of 150 to 600 words and a copy that is similar in five-word shingles, appended, cut or scattered."""
+    w = words(rng, rng.randrange(150, 600))
+    n = len(w)
+    if kind == "appended":
+        return w, w + words(rng, int(n * rng.choice([0.1, 0.15, 0.2, 0.24])))
+    if kind == "cut":
+        return w, w[: int(n * rng.choice([0.9, 0.85, 0.82]))]
+    v = list(w)
+    for at in rng.sample(range(n), max(1, n // 60)):
+        v[at] = words(rng, 1)[0]
+    return w, v
+
+
+def in_order(rows, t=0.8):
+    """Ids that stay, by all pairs."""
+    stay = []
+    for i, text in sorted(rows):
+        if all(jaccard(text, s) < t for _, s in stay):
+            stay.append((i, text))
+    return {i for i, _ in stay}
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "scattered"])
+def test_every_similar_pair_is_found(spark, kind):
+    rng = random.Random(kind)
+    rows = []
+    for i in range(40):
+        a, b = edited(rng, kind)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+    want = in_order(rows)
+    assert len(want) < 60
+    assert {r.doc_id for r in cp.near_stage(spark, frame(spark, rows), "").collect()} == want
+
+
+def test_a_large_group_of_near_copies_goes_by_rounds(spark):
+    rng = random.Random(4)
+    base, rows = words(rng, 200), []
+    for i in range(150):
+        v = list(base)
+        v[rng.randrange(200)] = words(rng, 1)[0]
+        rows.append((i, " ".join(v if i % 3 else v + words(rng, 25))))
+    rows += [(200 + i, " ".join(words(rng, 60) + base[:20])) for i in range(50)]
+    assert {r.doc_id for r in cp.near_stage(spark, frame(spark, rows), "").collect()} == in_order(rows)
