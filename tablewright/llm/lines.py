@@ -8,8 +8,8 @@ half of them, are too general to be a template and stay.
 
 Counts come first, by hash: which leaf, which line, the first and last document. Only leaves with several different
 lines are parsed again with their tokens (two bytes each), so most lines never leave their task. Leaves with over a
-thousandth of these lines, 1,000 at most, grow deeper, by a longer prefix of tokens, and are grouped in two steps:
-parts of a bounded number of lines first, then the templates of all parts.
+thousandth of these lines, 1,000 at most, are grouped in steps: parts of a bounded number of lines, by hash, then the
+templates of all parts, in parts again while that halves them, and at last those of the whole leaf.
 
 Defined cases: a null text stays null and has no lines; a null id is no document of its own: its lines neither make
 a template recur nor are dropped; rows that share an id are one document; a document that loses every line
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, join_groups, table, written
 
 MIN_TOKENS, DEPTH, SIMILAR = 5, 4, 0.7
-#: Tokens of the prefix of a leaf that is dealt out deeper.
-DEEPER = 4 * DEPTH
 #: Leaves (8 bytes each) up to which they are broadcast.
 BROADCAST_LEAVES = 500_000
 
@@ -153,17 +151,36 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
     sizes = written(members.groupBy("leaf").count())
     total = sizes.agg(F.sum("count")).first()[0] or 0
     limit = max(64.0, total * hot_share)
-    hot = sizes.filter(F.col("count") >= limit).select("leaf", F.ceil(F.col("count") / limit).alias("parts"))
-    prefix = F.xxhash64("leaf", F.substring("tokens", 1, 2 * DEEPER))
-    part = F.xxhash64(prefix, F.pmod(F.xxhash64("line"), F.col("parts")))
+    hot = sizes.filter(F.col("count") >= limit).select("leaf", _parts("count", limit))
     size = F.octet_length("tokens").alias("size")
-    rows = members.join(F.broadcast(hot), "leaf", "left").select(F.when(F.col("parts").isNotNull(), part).otherwise(F.col("leaf")).alias("key"), size, "line", "tokens", F.col("parts").isNotNull().alias("hot"), "leaf")
-    first = written(_grouped(rows.select("key", "size", "line", "tokens"), similar))
-    # The templates of the parts of hot leaves, themselves grouped.
+    rows = members.join(F.broadcast(hot), "leaf", "left")
+    rows = rows.select(F.when(F.col("parts").isNotNull(), _part("line", 0)).otherwise(F.col("leaf")).alias("key"), size, "line", "tokens", F.col("parts").isNotNull().alias("hot"), "leaf")
+    found = written(_grouped(rows.select("key", "size", "line", "tokens"), similar))
+    # The templates of the parts of hot leaves, themselves grouped: in parts while that halves them, then leaf by leaf.
     of_hot = rows.filter("hot").select("leaf", F.col("line").alias("l"))
-    parts = first.filter("tokens IS NOT NULL").join(of_hot, F.col("line") == F.col("l")).select(prefix.alias("key"), size, "line", "tokens")
-    second = written(_grouped(parts, similar).select(F.col("line").alias("t"), F.col("template").alias("final")))
-    return first.join(second, F.col("template") == F.col("t"), "left").select("line", F.coalesce("final", "template").alias("template"))
+    left = written(found.filter("tokens IS NOT NULL").join(of_hot, F.col("line") == F.col("l")).select("leaf", "line", "tokens"))
+    found, before, salt = found.select("line", "template"), None, 0
+    while n := left.count():
+        salt += 1
+        sizes = written(left.groupBy("leaf").agg(F.count(F.lit(1)).alias("count")).select("leaf", _parts("count", limit)))
+        last = sizes.agg(F.max("parts")).first()[0] == 1 or (before is not None and 2 * n > before)
+        key = F.col("leaf") if last else _part("line", salt)
+        merged = written(_grouped(left.join(F.broadcast(sizes), "leaf").select(key.alias("key"), size, "line", "tokens"), similar))
+        found = written(found.join(merged.select(F.col("line").alias("t"), F.col("template").alias("final")), F.col("template") == F.col("t"), "left").select("line", F.coalesce("final", "template").alias("template")))
+        if last:
+            break
+        left = written(merged.filter("tokens IS NOT NULL").select("line", "tokens").join(left.select("leaf", "line"), "line").select("leaf", "line", "tokens"))
+        before = n
+    return found
+
+
+def _parts(count: str, limit: float):
+    return F.ceil(F.col(count) / limit).alias("parts")
+
+
+def _part(line: str, salt: int):
+    """The part of its leaf that a line is in, by its hash alone."""
+    return F.xxhash64("leaf", F.pmod(F.xxhash64(line, F.lit(salt)), F.col("parts")))
 
 
 def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, broadcast_leaves: int = BROADCAST_LEAVES) -> tuple[DataFrame, DataFrame]:

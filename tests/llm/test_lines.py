@@ -93,3 +93,13 @@ def test_a_hot_template_is_one_template(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.drop_lines(df).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 64, 5000])
+def test_a_template_of_any_number_of_fillings_is_one(spark, n):
+    """A short line with one word field: the size of its leaf does not matter."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"user session was opened by {name(i)} on the main login server this morning\n{name(i)} stays") for i in range(n)]
+    got = {r.id: r for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(r.n_dropped for r in got.values()) == n - 1 and got[0].n_dropped == 0
+    assert all(got[i].text == f"{name(i)} stays" for i in range(1, n))
