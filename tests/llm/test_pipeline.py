@@ -135,3 +135,20 @@ def test_a_large_group_of_near_copies_goes_by_rounds(spark):
         rows.append((i, " ".join(v if i % 3 else v + words(rng, 25))))
     rows += [(200 + i, " ".join(words(rng, 60) + base[:20])) for i in range(50)]
     assert {r.doc_id for r in cp.near_stage(spark, frame(spark, rows), "").collect()} == in_order(rows)
+
+
+def test_a_chain_keeps_one_of_each_similar_pair(spark):
+    """B and C are similar to each other and not to A, though links join all three."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        a = [f"w{rng.randrange(40)}" for _ in range(400)]
+        b = list(a)
+        for at in range(0, 400, 18):
+            b[at : at + 2] = b[at : at + 2][::-1]
+        c = list(b)
+        c[200] = f"w{rng.randrange(40)}"
+        rows += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b)), (3 * i + 2, " ".join(c))]
+    text = dict(rows)
+    assert all(jaccard(text[3 * i + 1], text[3 * i + 2]) > 0.9 > 0.75 > jaccard(text[3 * i], text[3 * i + 1]) for i in range(20))
+    assert {r.doc_id for r in cp.near_stage(spark, frame(spark, rows), "").collect()} == {i for i in range(60) if i % 3 < 2}
