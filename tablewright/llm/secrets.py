@@ -2,8 +2,8 @@
 
 Written words and identifiers are long pieces of a byte-pair vocabulary, random strings are short ones. A run of
 at least MIN_RUN key characters with fewer than MAX_RATIO characters a token is a secret, unless it is a known form
-of something public: a digest (hex digits of a usual digest's length), a UUID, a plain word or number, or
-an identifier or path made of words.
+of something public: a digest (hex digits of a usual digest's length), a UUID, a plain number, or an identifier or path
+whose parts are words of the vocabulary. The form of an identifier alone is none: keys have it too.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, the end exclusive; a run inside a
 base span is not reported twice; rows that repeat are scanned alike; an empty table gives an empty result. Only the
@@ -44,6 +44,7 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{48}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4}|[a-z])(?:[/_=+-]+|$))+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CAMEL = re.compile(r"(?:[A-Z]?[a-z]{3,}){1,8}[0-9]{0,4}")
 
 
@@ -60,8 +61,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """Whether a run is of a public form."""
-    return bool(run.isdigit() or len(set(run)) < 6 or _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _WORDS.fullmatch(run) or _CAMEL.fullmatch(run))
+    """Whether a run is of a public form, whatever the vocabulary."""
+    return bool(run.isdigit() or len(set(run)) < 6 or _DIGEST.fullmatch(run) or _UUID.fullmatch(run))
+
+
+def is_identifier(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether a run has the form of an identifier and its parts are words: each of three letters or more is one token or
+    has the ratio, with or without a space before it, as it is or in lower case; and these have half of all letters."""
+    if not (_WORDS.fullmatch(run) or _CAMEL.fullmatch(run)):
+        return False
+    parts = _PART.findall(run)
+    long = [p for p in parts if len(p) > 2]
+    if 2 * sum(map(len, long)) < sum(map(len, parts)):
+        return False
+
+    def is_word(part: str) -> bool:
+        n = min(len(encoding.encode_ordinary(space + p)) for p in (part, part.lower()) for space in ("", " "))
+        return n == 1 or len(part) >= max_ratio * n
+
+    return all(map(is_word, long))
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +96,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_rati
         run = m[0]
         if is_known(run) or any(s <= m.start() and m.end() <= e for s, _, e in base):
             continue
-        if len(run) < max_ratio * len(encoding.encode_ordinary(run)):
+        if len(run) < max_ratio * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding, max_ratio):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -54,3 +54,18 @@ def test_scan(spark):
     assert got[3].text == "é <assign> and <random>"
     assert got[None].base == "access:0:20" and got[5].base == "hex:250000:250024"
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_random_strings_of_one_case_and_in_groups_are_found(encoding):
+    rng = random.Random(2)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {
+        "lower": lambda: "".join(rng.choices(lower, k=24)),
+        "upper": lambda: "".join(rng.choices(upper, k=24)),
+        "groups": lambda: "-".join("".join(rng.choices(lower, k=4)) for _ in range(5)),
+    }
+    found = {k: sum(bool(secrets.random_spans(f"key {make()} end", [], encoding)) for _ in range(300)) for k, make in kinds.items()}
+    print(found)
+    assert min(found.values()) >= 290
+    words = ["DEFAULT_CONNECTION_TIMEOUT_SECONDS", "one-of-the-most-important-things", "/usr/share/doc/python/examples"]
+    assert [w for w in words if secrets.random_spans(w, [], encoding)] == []
