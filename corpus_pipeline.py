@@ -25,10 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first document that has them. A document that loses lines and is
-    left with fragments only (no line of five words) goes."""
+    """Lines of recurring templates go, but for the first document that has them. A document that loses lines and has no
+    text left goes."""
     out = lines.drop_lines(docs, carry=("lang", "source", "n_chars"))
-    out = out.filter("n_dropped = 0 OR n_left > 0")
+    out = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("rest.n_chars"))
     return out.select(F.col("id").alias("doc_id"), "text", "rest.lang", "rest.source", changed.alias("n_chars"))
 

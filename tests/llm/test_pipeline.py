@@ -152,3 +152,10 @@ def test_a_chain_keeps_one_of_each_similar_pair(spark):
     text = dict(rows)
     assert all(jaccard(text[3 * i + 1], text[3 * i + 2]) > 0.9 > 0.75 > jaccard(text[3 * i], text[3 * i + 1]) for i in range(20))
     assert {r.doc_id for r in cp.near_stage(spark, frame(spark, rows), "").collect()} == {i for i in range(60) if i % 3 < 2}
+
+
+def test_short_lines_and_scripts_without_spaces_stay(spark):
+    notice = "this notice is the same on all of the pages here"
+    rows = [(0, "first page\n" + notice), (1, notice + "\nroses are red\nviolets are blue"), (2, "\u6211\u4eec\u4eca\u5929\u53bb\u5317\u4eac\u770b\u957f\u57ce\n" + notice), (3, notice), (4, notice + "\n \n")]
+    got = {r.doc_id: r.text for r in cp.line_stage(spark, frame(spark, rows), "").collect()}
+    assert got == {0: rows[0][1], 1: "roses are red\nviolets are blue", 2: "\u6211\u4eec\u4eca\u5929\u53bb\u5317\u4eac\u770b\u957f\u57ce"}
