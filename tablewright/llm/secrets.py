@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +47,8 @@ _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{48}|[0-9a-
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4}|[a-z])(?:[/_=+-]+|$))+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{3,}){1,8}[0-9]{0,4}")
+# One way only to cut a run into words, so that a long run is matched or refused in one pass.
+_CAMEL = re.compile(r"[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{3,}){0,7}[0-9]{0,4}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -91,10 +94,10 @@ def encoder(raw: bytes):
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    out = []
+    out, starts, ends = [], sorted(s for s, _, _ in base), list(accumulate((e for _, _, e in sorted(base)), max))
     for m in _RUN.finditer(text):
-        run = m[0]
-        if is_known(run) or any(s <= m.start() and m.end() <= e for s, _, e in base):
+        run, before = m[0], bisect_right(starts, m.start())
+        if is_known(run) or (before and m.end() <= ends[before - 1]):
             continue
         if len(run) < max_ratio * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding, max_ratio):
             out.append((m.start(), 3, m.end()))

@@ -69,3 +69,63 @@ def test_random_strings_of_one_case_and_in_groups_are_found(encoding):
     assert min(found.values()) >= 290
     words = ["DEFAULT_CONNECTION_TIMEOUT_SECONDS", "one-of-the-most-important-things", "/usr/share/doc/python/examples"]
     assert [w for w in words if secrets.random_spans(w, [], encoding)] == []
+
+
+def test_long_runs_are_scanned_at_once(encoding):
+    """No tail makes a run's form slow to refuse: 100,000 characters in under a second each."""
+    import time
+
+    rng = random.Random(3)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["abcdefghij" * 10_000 + "Z9", "".join(rng.choices(lower, k=100_000)) + "Z9Z", "AbcdEfgh" * 12_500 + "-", "ab-" * 33_333 + "!", "A" * 100_000 + "b", "-_" * 50_000 + "z9z", "password" * 12_000, "token" + " " * 100_000]
+    texts.append(" ".join("".join(rng.choices(lower + "0123456789ABCDEF", k=24)) for _ in range(4000)) + " " + "token=abcdef12 " * 4000)
+    for text in texts:
+        began = time.time()
+        secrets.random_spans(text, secrets.base_spans(text), encoding)
+        assert time.time() - began < 2, text[:30]
+
+
+def plain_random(text, base, encoding):
+    """Runs found character by character, and the rule read off its statement."""
+    keys = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in keys:
+            end += 1
+        run = text[at:end]
+        if len(run) >= 20 and not any(s <= at and end <= e for s, _, e in base):
+            hexes = all(c in "0123456789abcdefABCDEF" for c in run)
+            uuid = len(run) == 36 and [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF" for c in run.replace("-", ""))
+            known = run.isdigit() or len(set(run)) < 6 or (hexes and len(run) in (32, 40, 48, 56, 64, 96, 128)) or uuid
+            if not known and len(run) < secrets.MAX_RATIO * len(encoding.encode_ordinary(run)) and not secrets.is_identifier(run, encoding):
+                out.append((at, 3, end))
+        at = end + 1
+    return out
+
+
+def test_planted_secrets_of_many_kinds(spark, encoding):
+    import base64
+    import uuid
+
+    rng = random.Random(5)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = lambda: " ".join(rng.choices("the quick brown fox jumps over a lazy dog and runs home again with internationalization of responsibilities".split(), k=30))
+    make = {
+        "base64": lambda: base64.b64encode(rng.randbytes(rng.randrange(18, 60))).decode(),
+        "base62": lambda: "".join(rng.choices(b62, k=rng.randrange(24, 60))),
+        "uuid": lambda: str(uuid.UUID(bytes=rng.randbytes(16))).upper(),
+        "digest": lambda: rng.randbytes(rng.choice([16, 20, 32, 64])).hex().upper(),
+        "name": lambda: rng.choice(["getConnectionTimeoutFromSettings", "the_longest_possible_identifier", "/usr/local/share/documentation/readme"]),
+        "none": lambda: "nothing",
+    }
+    rows, kinds = [], list(make)
+    for i in range(360):
+        rows.append((i, f"{prose()} {make[kinds[i % len(kinds)]]()}, {prose()} é"))
+    got = {r.id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        base = secrets.base_spans(text)
+        want = sorted(base + plain_random(text, base, encoding))
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+    found = {k: sum(got[i].n_random > 0 for i, _ in rows if kinds[i % len(kinds)] == k) for k in kinds}
+    assert found["base64"] >= 58 and found["base62"] >= 59 and not any(found[k] for k in ("uuid", "digest", "name", "none"))
