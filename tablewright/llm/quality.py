@@ -4,11 +4,12 @@ Cyclic boosting fits a lookup table of each feature: in turn, a shallow tree ove
 step along the gradient. Then the pairs whose residuals a cut in four explains best get tables of their own, boosted
 alike. A score is a sum of table entries, looked up for all documents of a batch at once.
 
-Fitted on at most SAMPLE labelled documents, chosen by a hash of the id; every whole text is scored.
+Fitted on at most SAMPLE labelled documents, chosen by hashes of id and text; every whole text is scored.
 
 Defined cases: a null text is empty and scored as such; labels that are null, or of a null or unknown id, are not
-learned from; a document with several labels counts with each; with no label the score is 0.5, with one class it is
-near that class; equal texts get equal scores; an empty table gives an empty result. Only the named columns are read.
+learned from; those of one id are one example with their mean as label and their number as weight; different texts of
+one id are examples each, equal ones one; with no label the score is 0.5, with one class it is near that class; equal
+texts get equal scores; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, table
+from .common import bucket, table, written
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -111,8 +112,9 @@ def _cross(gradient: np.ndarray, hessian: np.ndarray, ridge: float = 1.0) -> tup
 class Additive:
     """Lookup tables of single features and of pairs."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pair_rounds: int = PAIR_ROUNDS, rate: float = RATE, pairs: int = PAIRS):
-        mean = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = ROUNDS, pair_rounds: int = PAIR_ROUNDS, rate: float = RATE, pairs: int = PAIRS):
+        weight = np.ones(len(y)) if weight is None else weight
+        mean = float(np.clip(((weight * y).sum() + 0.5) / (weight.sum() + 1), 1e-3, 1 - 1e-3))
         self.base = float(np.log(mean / (1 - mean)))
         cuts = lambda col, bins: np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) if len(col) else np.zeros(0)
         self.edges = [cuts(col, BINS) for col in x.T]
@@ -126,7 +128,7 @@ class Additive:
 
         def slopes():
             p = 1 / (1 + np.exp(-total))
-            return y - p, p * (1 - p)
+            return weight * (y - p), weight * p * (1 - p)
 
         for _ in range(rounds):
             for t, b in zip(self.tables, binned):
@@ -156,25 +158,40 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _place(*cols) -> Column:
+    """A number from 0 to 1 by the hash of a row."""
+    return F.pmod(F.xxhash64(F.lit(10), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Additive:
-    """Learn from labelled rows outside the held-out fold; the ids and labels of about `sample` rows, 16 bytes each, are
-    broadcast to the documents, and their features, 160 bytes each, come to the driver."""
+    """Learn from labelled rows outside the held-out fold: `sample` ids at most (40 bytes each) are broadcast to the
+    documents, and the features of `sample` texts at most (180 bytes each) come to the driver. Labels are summed for each
+    id before they meet the documents, so no pairs of equal ids arise however often an id repeats on either side."""
     rows = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label"))
     fold = bucket("label_id", FOLDS)
     rows = rows.filter((fold >= 0) & (fold != HELD_OUT) & F.col("label").isNotNull())
+    rows = written(rows.groupBy("label_id").agg(F.avg("label").alias("label"), F.count(F.lit(1)).alias("weight")))
     n = rows.count()
     if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(10), "label_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("label_id")).select("label", "text")
+        rows = rows.withColumn("at", _place("label_id")).filter(F.col("at") < 1.2 * sample / n + 1e-6).orderBy("at", "label_id").limit(sample).drop("at")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("label_id"))
+    most = found.select("label_id").count()
+    found = found.select("label_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), "label", "weight", "text")
+    if most > sample:
+        # Ids that repeat: rows by the hash of id and text.
+        found = found.filter(_place("label_id", "same") < 1.2 * sample / most + 1e-6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
-
-    got = source.mapInArrow(run, "label double, x array<double>").collect()
-    got.sort(key=lambda r: (r.label, r.x))
-    return Additive(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.label for r in got]))
+            x = [features(t.as_py()) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, pa.list_(pa.float64()))], names=["label_id", "same", "label", "weight", "x"])
+
+    found = found.mapInArrow(run, f"label_id {found.schema['label_id'].dataType.simpleString()}, same long, label double, weight long, x array<double>").dropDuplicates(["label_id", "same"])
+    if most > sample:
+        found = found.orderBy(_place("label_id", "same"), "label_id", "same").limit(sample)
+    got = found.collect()
+    got.sort(key=lambda r: (r.label, r.weight, r.x))
+    return Additive(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.clip([r.label for r in got], 0, 1), np.array([r.weight for r in got], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
