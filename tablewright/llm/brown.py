@@ -1,13 +1,15 @@
 """Brown class-based bigrams: exchange clustering assigns words to classes; a text's score is the sum of
 log10 P(class | class before) + log10 P(word | class).
 
-Three passes over the texts. (1) Counts of every word, keyed by a 64-bit hash: summed in each task, then by a
-shuffle. (2) Pair counts of units. A word with at least UNIT_SHARE of all tokens (1 / UNIT_SHARE words at most) is a
-unit of its own; the others are units by their ending (ENDINGS of them), the usual way to place words too rare
-to have contexts. The exchange algorithm moves units between CLASSES classes while that raises the likelihood of the
-training text under the class bigram model; it needs the unit pair counts alone, whose number is bounded. (3)
-Scores: words with at least HEAD_SHARE of all tokens (a million at most, 16 MB) have their counts sent along; other words
-of each document are joined to the counts by a shuffle, in which no word is hot since each is rare.
+Passes over the texts. (1) Counts of every word, keyed by a 64-bit hash: summed in each task, then by a shuffle.
+(2) Pair counts of units: the MOST_UNITS most frequent words are units of their own, the others for now are units by
+their ending (ENDINGS of them). The exchange algorithm moves units between CLASSES classes while that raises the
+likelihood of the training text under the class bigram model; it needs the unit pair counts alone, whose number is
+bounded. (3) The classes before and after every other word, by shuffles: each word that occurs twice or more moves to
+the class under which its own contexts are likeliest, as the exchange would do with the classes of all others held. Words
+that occur once, or never, stay in the class of their ending. (4) Class pairs once more, by the classes that words now have.
+(5) Scores: words with at least HEAD_SHARE of all tokens (a million at most, 17 MB) have counts and classes sent along;
+other words of each document are joined to theirs by a shuffle.
 
 All counts cover all training documents. Smoothing: classes after a class are interpolated with the class
 frequencies; within a class of N tokens and V words, P(word) = (c + 1) / (N + V + 1), so an unseen word counts as one.
@@ -27,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, table, written
+from .common import bucket, join_groups, table, written
 
 CLASSES = 64
-UNIT_SHARE, ENDINGS = 2.5e-4, 509
+MOST_UNITS, ENDINGS = 1500, 509
 HEAD_SHARE = 1e-6
-SWEEPS = 8
+#: Most sweeps of the exchange; it ends when one moves nothing.
+SWEEPS = 25
+#: Occurrences from which on a word gets its class by its own contexts.
+OWN_CLASS = 2
 #: Weight, in tokens, of the class frequencies in what follows a class.
 PRIOR = 5.0
 FOLDS, HELD_OUT = 7, 2
@@ -205,13 +210,96 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, n_units: int, classes:
     return out
 
 
+def contexts(training: DataFrame, units: Units, of: np.ndarray, classes: int) -> DataFrame:
+    """h, ctx, n: how often a word that is no unit of its own has class ctx before it, or ctx - classes after it."""
+    shared = training.sparkSession.sparkContext.broadcast((units, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, of = shared.value
+        for _, texts in pieces(batches, 0):
+            h, ending, n_words = cut(texts)
+            cls = of[units.sequence(h, ending, n_words)]
+            at = np.arange(len(h)) + np.repeat(np.arange(len(n_words)), n_words) + 1
+            rare = np.flatnonzero(lookup(units.words, h) < 0)
+            word, place = np.unique(h[rare], return_inverse=True)
+            code = np.concatenate([place * 2 * classes + cls[at[rare] - 1], place * 2 * classes + classes + cls[at[rare] + 1]])
+            code, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word[code // (2 * classes)].view(np.int64)), pa.array((code % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "ctx", "n"])
+
+    return training.mapInArrow(run, "h long, ctx int, n long").groupBy("h", "ctx").agg(F.sum("n").alias("n"))
+
+
+def fits(pairs: np.ndarray) -> np.ndarray:
+    """For each context, before and after, the log likelihood that each class adds to an occurrence there; half of the
+    class's own frequency is taken off on either side, since a word's share of its class falls with the class's size."""
+    classes = len(pairs)
+    share = (pairs.sum(0) + 1) / (pairs.sum() + classes)
+    steps = np.log((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
+    half = 0.5 * np.log(share)
+    out = np.concatenate([steps - half, steps.T - half])
+    # Class 0 is the edge's alone.
+    out[:, 0] = -np.inf
+    return out
+
+
+def own_classes(found: DataFrame, pairs: np.ndarray, least: int = OWN_CLASS) -> DataFrame:
+    """contexts -> h, k: the likeliest class of each word that occurs `least` times or more. A word has a row for each
+    class before or after it at most."""
+    gains, classes = fits(pairs), len(pairs)
+    lists = found.groupBy("h").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"), F.sum(F.when(F.col("ctx") < classes, F.col("n"))).alias("c")).filter(F.col("c") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ctx, n = part.column(1), part.column(2)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(ctx.offsets.to_numpy()))
+                times = np.zeros((part.num_rows, 2 * classes))
+                times[owner, ctx.flatten().to_numpy()] = n.flatten().to_numpy()
+                best = (times @ gains[:, 1:]).argmax(axis=1) + 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["h", "k"])
+
+    return lists.select("h", "ctx", "n").mapInArrow(run, "h long, k int")
+
+
+class Head:
+    """Counts and classes of the words that are sent along, and the classes of endings."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, k: np.ndarray, endings: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.c, self.k, self.endings = h[order], c[order], k[order].astype(np.int16), endings.astype(np.int16)
+
+    def of(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word, -1 if it is not here; its class, by its ending if it is not here."""
+        at = lookup(self.h, h)
+        return at, np.where(at >= 0, self.k[at] if len(self.k) else 0, self.endings[ending]).astype(np.int64)
+
+
+def class_pairs(training: DataFrame, head: Head, classes: int) -> np.ndarray:
+    """How often a class follows a class; class 0 is the edge of a document."""
+    shared = training.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, dtype=np.int64)
+        for _, texts in pieces(batches, 0):
+            h, ending, n_words = cut(texts)
+            k = np.zeros(len(h) + len(n_words) + 1, dtype=np.int64)
+            k[np.arange(len(h)) + np.repeat(np.arange(len(n_words)), n_words) + 1] = shared.value.of(h, ending)[1]
+            total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in training.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(classes, classes)
+
+
 class Model:
-    """Classes, transitions, and the words whose counts are sent along."""
+    """Transitions, and the words whose counts and classes are sent along."""
 
-    def __init__(self, units: Units, classes: np.ndarray, pairs: np.ndarray, tokens: int, words: int, class_tokens: np.ndarray, class_words: np.ndarray, head: np.ndarray, head_counts: np.ndarray, ends: int):
-        self.units, self.classes, self.tokens, self.words, self.ends = units, classes, tokens, words, ends
-        order = np.argsort(head)
-        self.head, self.head_counts = head[order], head_counts[order]
+    def __init__(self, head: Head, pairs: np.ndarray, tokens: int, words: int, class_tokens: np.ndarray, class_words: np.ndarray, ends: int):
+        self.head, self.tokens, self.words, self.ends = head, tokens, words, ends
         share = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
         self.transitions = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
         #: Denominators of the words of each class, and of the unigram model.
@@ -219,87 +307,119 @@ class Model:
         self.of_all = float(np.log10(tokens + words + 1))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """For each text: tokens, known ones, base and model score without the rare words; and for each rare
-        word of a text: the text, hash, class, times."""
+        """For each text: tokens, known ones, base and model score without the rare words; for each rare word of a text:
+        the text, hash, class by its ending, times; and for each step to or from a rare word: the text, both sides (a class,
+        or the rare word's place in its text, plus the number of classes), times."""
+        classes = len(self.transitions)
         h, ending, n_words = cut(texts)
-        document = np.repeat(np.arange(len(texts)), n_words)
-        units = self.units.sequence(h, ending, n_words)
-        cls = self.classes[units]
-        steps = self.transitions[cls[:-1], cls[1:]]
-        # The step into each word, and into the end of each text.
-        of = np.r_[np.arange(len(h)) + document, np.cumsum(n_words) + np.arange(len(texts))]
-        owner = np.r_[document, np.arange(len(texts))]
-        word_class = cls[np.arange(len(h)) + document + 1]
-        model = np.bincount(owner, steps[of], len(texts))
-        at = lookup(self.head, h)
+        n, document = len(texts), np.repeat(np.arange(len(texts)), n_words)
+        at, k = self.head.of(h, ending)
         known = at >= 0
-        logs = np.log10(self.head_counts[at[known]] + 1.0)
-        base = np.bincount(document[known], logs - self.of_all, len(texts)) + np.log10(self.ends + 1.0) - self.of_all
-        model += np.bincount(document[known], logs - self.of_class[word_class[known]], len(texts))
-        n_known = np.bincount(document[known], minlength=len(texts)) + (self.ends > 0)
+        logs = np.log10(self.head.c[at[known]] + 1.0)
+        base = np.bincount(document[known], logs - self.of_all, n) + np.log10(self.ends + 1.0) - self.of_all
+        total = np.bincount(document[known], logs - self.of_class[k[known]], n)
+        n_known = np.bincount(document[known], minlength=n) + (self.ends > 0)
+        # The rare words of each text, each once.
         rare = np.flatnonzero(~known)
         order = rare[np.lexsort((h[rare], document[rare]))]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (h[order][1:] != h[order][:-1]) | (document[order][1:] != document[order][:-1])
-        starts = np.flatnonzero(first)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (document[order][1:] != document[order][:-1])
+        starts = np.flatnonzero(new)
         keep = order[starts]
-        return n_words + 1, n_known, base, model, document[keep], h[keep], word_class[keep], np.diff(np.r_[starts, len(order)])
-
-
-def fit(docs: DataFrame, classes: int = CLASSES, unit_share: float = UNIT_SHARE, head_share: float = HEAD_SHARE, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
-    """docs(id, text) -> the model, and the counts (h, c) of the words that are not in it."""
+        # A side of a step: the class, or a rare word's place in its text.
+        first_of = np.searchsorted(document[keep], np.arange(n))
+        side = k.copy()
+        side[order] = classes + (np.cumsum(new) - 1) - first_of[document[order]]
+        line = np.zeros(len(h) + n + 1, dtype=np.int64)
+        line[np.arange(len(h)) + document + 1] = side
+        left, right, owner = line[:-1], line[1:], np.repeat(np.arange(n), n_words + 1)
+        local = (left < classes) & (right < classes)
+        total = total + np.bincount(owner[local], self.transitions[left[local], right[local]], n)
+        owner, left, right = owner[~local], left[~local], right[~local]
+        step = np.lexsort((right, left, owner))
+        owner, left, right = owner[step], left[step], right[step]
+        new = np.ones(len(owner), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        at = np.flatnonzero(new)
+        return n_words + 1, n_known, base, total, document[keep], h[keep], k[keep], np.diff(np.r_[starts, len(order)]), owner[at], left[at], right[at], np.diff(np.r_[at, len(owner)])
+
+
+def fit(docs: DataFrame, classes: int = CLASSES, most_units: int = MOST_UNITS, head_share: float = HEAD_SHARE, sweeps: int = SWEEPS, own_class: int = OWN_CLASS) -> tuple[Model, DataFrame]:
+    """docs(id, text) -> the model, and the counts and classes (h, c, k) of the words that are not in it. With own_class None
+    all words but the units keep the class of their ending."""
+    spark = docs.sparkSession
     training = docs.filter((bucket("id", FOLDS) >= 0) & (bucket("id", FOLDS) != HELD_OUT)).select("text")
     counts = written(word_counts(training))
     tokens, words, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("ending").isNull(), F.col("c")))).first()
     tokens, ends = tokens or 0, ends or 0
     spread = counts.filter("ending IS NOT NULL")
-    head = spread.filter(F.col("c") >= max(1.0, tokens * head_share)).select("h", "ending", "c").toPandas()
-    h, c = head.h.to_numpy(np.int64).view(np.uint64), head.c.to_numpy(np.int64)
-    units = Units(h[c >= tokens * unit_share] if tokens else h[:0])
+    top = spread.orderBy(F.desc("c"), "h").limit(most_units).select("h").collect()
+    units = Units(np.array([r.h for r in top], dtype=np.int64).view(np.uint64))
     found = unit_pairs(training, units).toPandas()
     a, b, n = (found[k].to_numpy(np.int64) for k in "abn")
     of = exchange(a, b, n.astype(np.float64), units.n, classes, sweeps)
     pairs = np.bincount(of[a] * classes + of[b], n, classes * classes).reshape(classes, classes)
-    # Tokens and words of each class: its own words from the head, the others by ending.
-    by_ending = spread.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
+    endings = of[1 : 1 + ENDINGS]
+    own = spark.createDataFrame([(int(w), int(k)) for w, k in zip(units.words.view(np.int64), of[1 + ENDINGS :])], "h long, k int")
+    if own_class is not None:
+        own = own.union(own_classes(contexts(training, units, of, classes), pairs, own_class))
+    by_ending = F.element_at(F.array(*map(F.lit, endings.tolist())), F.col("ending").cast("int") + 1)
+    placed = written(spread.join(own.hint("shuffle_merge"), "h", "left").select("h", "c", F.coalesce("k", by_ending).cast("int").alias("k")))
+    least = max(1.0, tokens * head_share)
+    sent = placed.filter(F.col("c") >= least).toPandas()
+    head = Head(sent.h.to_numpy(np.int64).view(np.uint64), sent.c.to_numpy(np.int64), sent.k.to_numpy(np.int64), endings)
+    pairs = class_pairs(training, head, classes)
     class_tokens, class_words = np.zeros(classes), np.zeros(classes)
-    for e, x, v in zip(by_ending.ending, by_ending.c, by_ending.v):
-        class_tokens[of[1 + e]] += x
-        class_words[of[1 + e]] += v
-    for w, e, x in zip(h, head.ending, c):
-        u, v = of[units.of(np.array([w], dtype=np.uint64), np.array([e]))[0]], of[1 + e]
-        class_tokens[v] -= x
-        class_words[v] -= 1
-        class_tokens[u] += x
-        class_words[u] += 1
-    model = Model(units, of, pairs, int(tokens), int(words), class_tokens, class_words, h, c, int(ends))
-    return model, spread.filter(F.col("c") < max(1.0, tokens * head_share)).select("h", "c")
-
-
-def score(docs: DataFrame, model: Model, rare_counts: DataFrame) -> DataFrame:
+    for r in placed.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        class_tokens[r.k], class_words[r.k] = r.c, r.v
+    return Model(head, pairs, int(tokens), int(words), class_tokens, class_words, int(ends)), placed.filter(F.col("c") < least)
+
+
+def score(docs: DataFrame, model: Model, rare_words: DataFrame) -> DataFrame:
     """docs(id, text) -> id, n_tokens, n_known, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches, 2):
-            n, known, base, total, document, h, cls, times = shared.value.score(texts)
-            edges = pa.array(np.searchsorted(document, np.arange(len(texts) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x, t)) for x, t in ((h.view(np.int64), pa.int64()), (cls, pa.int32()), (times, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), *lists], names=["row", "id", "n_tokens", "known", "base", "total", "hs", "classes", "times"])
+            n, known, base, total, document, h, k, times, owner, left, right, many = shared.value.score(texts)
+            lists = lambda of, *arrays: [pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), pa.array(x, t)) for x, t in arrays]
+            words = lists(document, (h.view(np.int64), pa.int64()), (k, pa.int32()), (times, pa.int32()))
+            steps = lists(owner, (left, pa.int32()), (right, pa.int32()), (many, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), *words, *steps], names=["row", "id", "n_tokens", "known", "base", "total", "hs", "ks", "times", "lefts", "rights", "many"])
 
     kind = docs.schema["id"].dataType.simpleString()
     # The row number is written with the scores, so it does not depend on how the texts are read again.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    first = written(rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, base double, total double, hs array<long>, classes array<int>, times array<int>"))
-    rare = first.select("row", F.explode(F.arrays_zip("hs", "classes", "times")).alias("w")).select("row", F.col("w.hs").alias("h"), F.col("w.classes").alias("k"), F.col("w.times").alias("t"))
-    rare = rare.join(rare_counts, "h", "left")
-    log, of_class = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)), F.element_at(F.array(*map(F.lit, model.of_class.tolist())), F.col("k") + 1)
-    rest = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * (log - F.lit(model.of_all))).alias("more_base"), F.sum(F.col("t") * (log - of_class)).alias("more_total")
-    )
-    joined = first.drop("hs", "classes", "times").join(rest, "row", "left")
-    plus = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), F.lit(zero))
-    return joined.select("id", "n_tokens", plus("known", "more", 0).alias("n_known"), plus("base", "more_base", 0.0).alias("base_score"), plus("total", "more_total", 0.0).alias("score"))
+    plain = f"row long, id {kind}, n_tokens long, known long, base double, total double"
+    first = written(rows.mapInArrow(run, f"{plain}, hs array<long>, ks array<int>, times array<int>, lefts array<int>, rights array<int>, many array<int>"))
+    rare = first.select("row", F.posexplode("hs").alias("place", "h"))
+    # A word that training lacks can be in any number of rows.
+    sizes = written(rare.groupBy("h").agg(F.count(F.lit(1)).alias("m")).join(rare_words.hint("shuffle_merge"), "h", "left"))
+    rows_in_all = sizes.agg(F.sum("m")).first()[0] or 0
+    # Words as (place, count, class): class -1 is that of the ending.
+    word = F.struct("place", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("k", F.lit(-1)).alias("k"))
+    found = join_groups(rare, sizes, ["h"], "m", rows_in_all).groupBy("row").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    late = first.filter(F.size("hs") > 0).join(found.hint("shuffle_merge"), "row").select("row", "id", "n_tokens", "known", "base", "total", "ks", "times", "lefts", "rights", "many", F.col("words.c").alias("cs"), F.col("words.k").alias("own"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        classes = len(model.transitions)
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                known, base, total = (batch.column(j)[i].as_py() for j in (3, 4, 5))
+                ks, times, left, right, many, c, own = (batch.column(j)[i].values.to_numpy() for j in range(6, 13))
+                k = np.where(own >= 0, own, ks)
+                log = np.log10(c + 1.0)
+                side = np.r_[np.arange(classes), k]
+                base += float((times * (log - model.of_all)).sum())
+                total += float((times * (log - model.of_class[k])).sum() + (many * model.transitions[side[left], side[right]]).sum())
+                out.append((known + int(times[c > 0].sum()), base, total))
+            known, base, total = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    done = late.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return done.union(first.filter(F.size("hs") == 0).select("id", "n_tokens", "known", "base", "total"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

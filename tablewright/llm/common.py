@@ -78,3 +78,40 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(F.broadcast(hot), keys).unionByName(
         rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_merge"), keys)
     )
+
+
+def join_dealt(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Like join_groups, for groups whose values may be long: these are never broadcast. The rows of a hot group are dealt
+    out, and its values repeated for each share; only the hot keys are sent along. Rows with a null key may be kept (left)."""
+    limit = F.lit(max(1.0, total * HOT_SHARE))
+    copies = F.ceil(F.col(size) / limit)
+    hot = groups.filter(F.col(size) > limit).select(*keys, copies.alias("_copies"))
+    shares = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop(size)
+    share = F.when(F.col("_copies").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_copies")))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_copy", share).drop("_copies")
+    return dealt.join(shares.hint("shuffle_merge"), [*keys, "_copy"], how).drop("_copy")
+
+
+#: Bits of a Seen table: 16 for each key, and 32 MB at most. Beyond, more rows look as if they were in it, and none less.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 15, 1 << 28, 16
+
+
+class Seen:
+    """Which rows may have one of the keys: a bit for the hash of each key, in tables of a bounded size that are sent to all
+    tasks. Rows that are told apart so need no shuffle to meet the keys."""
+
+    def __init__(self, keys: DataFrame, by: list[str], most_bits: int = MOST_BITS):
+        self.by, n = by, keys.count()
+        self.bits = min(max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()), most_bits)
+        at = self._at()
+        self.tables = written(keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+
+    def _at(self) -> Column:
+        return F.pmod(F.xxhash64(F.lit(23), *self.by), F.lit(self.bits)).cast("long")
+
+    def mark(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows, and whether each may have one of the keys; a row that has is always marked."""
+        place = F.bitmap_bit_position(self._at())
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        joined = rows.withColumn("_bucket", F.bitmap_bucket_number(self._at())).join(F.broadcast(self.tables), "_bucket", "left")
+        return joined.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")

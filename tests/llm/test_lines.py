@@ -22,9 +22,16 @@ def brute(rows):
     for members in leaves.values():
         keys = list(members)
         signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-        group, _ = lines.group_leaf(lines.np.array(signed), [members[k] for k in keys])
-        for g in set(group):
-            mine = [k for k, x in zip(keys, group) if x == g]
+        began = []
+        for k, x in sorted(zip(keys, signed), key=lambda p: p[1]):
+            mine = lines.np.frombuffer(members[k], dtype=lines.np.uint16).tolist()
+            for own, head in began:
+                if 10 * sum(a == b for a, b in zip(mine, head)) >= 7 * len(mine):
+                    own.append(k)
+                    break
+            else:
+                began.append(([k], mine))
+        for mine, _ in began:
             ids = set().union(*(info[k] for k in mine))
             if len(ids) > 1:
                 first.update({k: min(ids) for k in mine})
@@ -72,12 +79,52 @@ def test_matches_the_plain_version(spark, broadcasts):
     assert not any(lines.parse(x.encode()) for x in by_id[200].text.split("\n"))
 
 
-def test_hot_leaves_grow_deeper(spark):
-    rows = [(i, f"every line here begins alike but item {chr(97 + i % 26)}{chr(97 + i // 26)} then ends quite differently " + " ".join(f"{chr(97 + (i * k) % 26)}x" for k in range(1, 12))) for i in range(200)]
-    rows += [(1000 + i, rows[i][1]) for i in range(50)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r for r in lines.drop_lines(df).collect()}
-    assert all(got[1000 + i].n_dropped == 1 for i in range(50))
+def hot_leaf(rng, n):
+    """Lines of one leaf: few templates that recur, and many lines that are like no other."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    bodies = [[word() for _ in range(12)] for _ in range(4)]
+    rows = []
+    for i in range(n):
+        body = list(bodies[i % 4]) if i % 3 else [word() for _ in range(12)]
+        for at in rng.sample(range(12), 2 if i % 5 else 4):
+            body[at] = word()
+        rows.append((i, "one leaf has all " + " ".join(body) + "\n" + " ".join(word() for _ in range(8))))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [7, 10**6])
+def test_a_leaf_gives_the_same_templates_at_every_limit(spark, limit):
+    rows = hot_leaf(random.Random(11), 400)
+    raw = [x.encode() for _, t in rows for x in t.split("\n")]
+    parsed = {p[1]: p for p in map(lines.parse, raw) if p}
+    members = spark.createDataFrame([(lines._signed([p[0]])[0].item(), lines._signed([p[1]])[0].item(), lines.token_hashes(p[2])) for p in parsed.values()], "leaf long, line long, tokens binary")
+    got = {r.line: r.template for r in lines.templates(members, most_lines=limit, least_lines=1).collect()}
+    want, leaves = {}, {}
+    for r in members.collect():
+        leaves.setdefault(r.leaf, []).append((r.line, bytes(r.tokens)))
+    for own in leaves.values():
+        of = lines.group_leaf(lines.np.array([x for x, _ in own]), [t for _, t in own])
+        want.update({x: int(t) for (x, _), t in zip(own, of)})
+    assert got == want and 100 < len(set(got.values())) < 700
+
+
+@pytest.mark.parametrize("limit", [3, 4096])
+def test_hot_leaf_matches_the_plain_version(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines.templates, "__defaults__", (lines.SIMILAR, 1.0, limit, 1))
+    rows = hot_leaf(random.Random(12), 120)
+    got = {r.id: r.text for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_ids_with_a_third_of_all_rows(spark):
+    """One id, and none, with many rows each, equal ones too."""
+    rng = random.Random(13)
+    notice = "this notice is the same on all of the pages here"
+    rows = [((5, None, i)[i % 3], f"{notice}\nalone {i} " + " ".join(rng.choices("abc", k=2)) if i % 2 else notice + "\nagain") for i in range(300)]
+    got = lines.drop_lines(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, same string")).collect()
+    want = brute(rows)
+    assert sorted((str(r.id), r.text) for r in got) == sorted((str(i), "\n".join(x for x in t.split("\n") if i is None or i == 2 or x != notice)) for i, t in rows)
+    assert want[2] == rows[2][1] and sum(r.n_dropped for r in got if r.id == 5) == 101
 
 
 def test_a_hot_template_is_one_template(spark):
