@@ -5,11 +5,12 @@ Passes over the texts. (1) Counts of every word, keyed by a 64-bit hash: summed
 (2) Pair counts of units: the MOST_UNITS most frequent words are units of their own, the others for now are units by
 their ending (ENDINGS of them). The exchange algorithm moves units between CLASSES classes while that raises the
 likelihood of the training text under the class bigram model; it needs the unit pair counts alone, whose number is
-bounded. (3) The classes before and after every other word, by shuffles: each word that occurs twice or more moves to
+bounded. (3) The classes before and after every other word, by one shuffle: each word that occurs twice or more moves to
 the class under which its own contexts are likeliest, as the exchange would do with the classes of all others held. Words
-that occur once, or never, stay in the class of their ending. (4) Class pairs once more, by the classes that words now have.
-(5) Scores: words with at least HEAD_SHARE of all tokens (a million at most, 17 MB) have counts and classes sent along;
-other words of each document are joined to theirs by a shuffle.
+that occur once, or never, stay in the class of their ending. Of the MOST_SUMMED most frequent words the contexts are summed
+in each task first (10 MB), so that no word is hot. (4) Class pairs once more, by the classes that words now have.
+(5) Scores: the MOST_SENT most frequent words, about, have counts and classes sent along (18 bytes each); other words
+of each document are joined to theirs by a shuffle.
 
 All counts cover all training documents. Smoothing: classes after a class are interpolated with the class
 frequencies; within a class of N tokens and V words, P(word) = (c + 1) / (N + V + 1), so an unseen word counts as one.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bucket, join_groups, table, written
 
 CLASSES = 64
-MOST_UNITS, ENDINGS = 1500, 509
-HEAD_SHARE = 1e-6
+MOST_UNITS, ENDINGS = 800, 509
+MOST_SUMMED, MOST_SENT = 20_000, 500_000
 #: Most sweeps of the exchange; it ends when one moves nothing.
 SWEEPS = 25
 #: Occurrences from which on a word gets its class by its own contexts.
@@ -210,56 +211,86 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, n_units: int, classes:
     return out
 
 
-def contexts(training: DataFrame, units: Units, of: np.ndarray, classes: int) -> DataFrame:
-    """h, ctx, n: how often a word that is no unit of its own has class ctx before it, or ctx - classes after it."""
-    shared = training.sparkSession.sparkContext.broadcast((units, of))
+def contexts(training: DataFrame, units: Units, of: np.ndarray, classes: int, summed: np.ndarray) -> DataFrame:
+    """h, before, after, n: how often a word that is no unit of its own stands between two classes. For the words of
+    `summed`, sorted hashes, either side alone, the other one -1."""
+    shared = training.sparkSession.sparkContext.broadcast((units, of, summed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, of = shared.value
+        units, of, summed = shared.value
+        sums = np.zeros((2, len(summed) * classes), dtype=np.int64)
+
+        def rows(h, before, after, n):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(before, pa.int16()), pa.array(after, pa.int16()), pa.array(n, pa.int64())], names=["h", "before", "after", "n"])
+
         for _, texts in pieces(batches, 0):
             h, ending, n_words = cut(texts)
             cls = of[units.sequence(h, ending, n_words)]
             at = np.arange(len(h)) + np.repeat(np.arange(len(n_words)), n_words) + 1
-            rare = np.flatnonzero(lookup(units.words, h) < 0)
+            place = lookup(summed, h)
+            often = np.flatnonzero(place >= 0)
+            for side, step in enumerate((-1, 1)):
+                sums[side] += np.bincount(place[often] * classes + cls[at[often] + step], minlength=sums.shape[1])
+            rare = np.flatnonzero((place < 0) & (lookup(units.words, h) < 0))
             word, place = np.unique(h[rare], return_inverse=True)
-            code = np.concatenate([place * 2 * classes + cls[at[rare] - 1], place * 2 * classes + classes + cls[at[rare] + 1]])
-            code, n = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word[code // (2 * classes)].view(np.int64)), pa.array((code % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "ctx", "n"])
+            code, n = np.unique((place * classes + cls[at[rare] - 1]) * classes + cls[at[rare] + 1], return_counts=True)
+            yield rows(word[code // classes**2], code // classes % classes, code % classes, n)
+        for side in range(2):
+            for start in range(0, sums.shape[1], 1 << 16):
+                code = start + np.flatnonzero(sums[side, start : start + (1 << 16)])
+                both = [np.full(len(code), -1), np.full(len(code), -1)]
+                both[side] = code % classes
+                yield rows(summed[code // classes], *both, sums[side, code])
 
-    return training.mapInArrow(run, "h long, ctx int, n long").groupBy("h", "ctx").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "h long, before smallint, after smallint, n long")
 
 
 def fits(pairs: np.ndarray) -> np.ndarray:
-    """For each context, before and after, the log likelihood that each class adds to an occurrence there; half of the
-    class's own frequency is taken off on either side, since a word's share of its class falls with the class's size."""
+    """For each class before, then each class after, the log likelihood that each class adds to an occurrence there; half of
+    the class's own frequency is taken off on either side, since a word's share of its class falls with the class's size."""
     classes = len(pairs)
     share = (pairs.sum(0) + 1) / (pairs.sum() + classes)
     steps = np.log((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
-    half = 0.5 * np.log(share)
-    out = np.concatenate([steps - half, steps.T - half])
-    # Class 0 is the edge's alone.
-    out[:, 0] = -np.inf
-    return out
+    return np.concatenate([steps, steps.T]) - 0.5 * np.log(share)
 
 
 def own_classes(found: DataFrame, pairs: np.ndarray, least: int = OWN_CLASS) -> DataFrame:
-    """contexts -> h, k: the likeliest class of each word that occurs `least` times or more. A word has a row for each
-    class before or after it at most."""
-    gains, classes = fits(pairs), len(pairs)
-    lists = found.groupBy("h").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"), F.sum(F.when(F.col("ctx") < classes, F.col("n"))).alias("c")).filter(F.col("c") >= least)
+    """contexts -> h, k: the likeliest class of each word that occurs `least` times or more; class 0 is the edge's alone."""
+    gains, classes = fits(pairs)[:, 1:], len(pairs)
+    found = found.select("h", "before", "after", "n").repartition("h").sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+
+        def chosen(h, before, after, n):
+            new = np.r_[True, h[1:] != h[:-1]]
+            word, owner = h[new], np.cumsum(new) - 1
+            times = np.zeros((len(word), 2 * classes))
+            for side, start in ((before, 0), (after, classes)):
+                live = side >= 0
+                times += np.bincount(owner[live] * 2 * classes + start + side[live], n[live], times.size).reshape(times.shape)
+            often = times[:, :classes].sum(axis=1) >= least
+            return pa.RecordBatch.from_arrays([pa.array(word[often]), pa.array(((times[often] @ gains).argmax(axis=1) + 1).astype(np.int32))], names=["h", "k"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ctx, n = part.column(1), part.column(2)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(ctx.offsets.to_numpy()))
-                times = np.zeros((part.num_rows, 2 * classes))
-                times[owner, ctx.flatten().to_numpy()] = n.flatten().to_numpy()
-                best = (times @ gains[:, 1:]).argmax(axis=1) + 1
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["h", "k"])
+            for at in range(0, batch.num_rows, 8192):
+                now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.slice(at, 8192).columns]
+                now = [np.concatenate(x) for x in zip(kept, now)] if kept else now
+                # The last word may go on: its rows so far are one for each pair of classes at most.
+                end = int(np.searchsorted(now[0], now[0][-1]))
+                kept = _merged([x[end:] for x in now], classes)
+                if end:
+                    yield chosen(*(x[:end] for x in now))
+        if kept:
+            yield chosen(*kept)
+
+    return found.mapInArrow(run, "h long, k int")
 
-    return lists.select("h", "ctx", "n").mapInArrow(run, "h long, k int")
+
+def _merged(rows: list[np.ndarray], classes: int) -> list[np.ndarray]:
+    """Rows of one word (h, before, after, n), equal ones summed."""
+    code, place = np.unique((rows[1] + 1) * (classes + 1) + rows[2] + 1, return_inverse=True)
+    return [np.full(len(code), rows[0][0]), code // (classes + 1) - 1, code % (classes + 1) - 1, np.bincount(place, rows[3]).astype(np.int64)]
 
 
 class Head:
@@ -344,7 +375,19 @@ class Model:
         return n_words + 1, n_known, base, total, document[keep], h[keep], k[keep], np.diff(np.r_[starts, len(order)]), owner[at], left[at], right[at], np.diff(np.r_[at, len(owner)])
 
 
-def fit(docs: DataFrame, classes: int = CLASSES, most_units: int = MOST_UNITS, head_share: float = HEAD_SHARE, sweeps: int = SWEEPS, own_class: int = OWN_CLASS) -> tuple[Model, DataFrame]:
+def _least(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most `most` words have or exceed."""
+    total, out = 0, None
+    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("c")).limit(most + 1).toLocalIterator():
+        total += r.v
+        out = r.c + 1 if out is None else out
+        if total > most:
+            break
+        out = r.c
+    return out or 1
+
+
+def fit(docs: DataFrame, classes: int = CLASSES, most_units: int = MOST_UNITS, most_sent: int = MOST_SENT, sweeps: int = SWEEPS, own_class: int | None = OWN_CLASS, most_summed: int = MOST_SUMMED) -> tuple[Model, DataFrame]:
     """docs(id, text) -> the model, and the counts and classes (h, c, k) of the words that are not in it. With own_class None
     all words but the units keep the class of their ending."""
     spark = docs.sparkSession
@@ -353,21 +396,21 @@ def fit(docs: DataFrame, classes: int = CLASSES, most_units: int = MOST_UNITS, h
     tokens, words, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("ending").isNull(), F.col("c")))).first()
     tokens, ends = tokens or 0, ends or 0
     spread = counts.filter("ending IS NOT NULL")
-    top = spread.orderBy(F.desc("c"), "h").limit(most_units).select("h").collect()
-    units = Units(np.array([r.h for r in top], dtype=np.int64).view(np.uint64))
-    found = unit_pairs(training, units).toPandas()
-    a, b, n = (found[k].to_numpy(np.int64) for k in "abn")
+    top = np.array([r.h for r in spread.orderBy(F.desc("c"), "h").limit(most_summed).select("h").collect()], dtype=np.int64).view(np.uint64)
+    units = Units(top[:most_units])
+    found = unit_pairs(training, units).toArrow()
+    a, b, n = (found[k].to_numpy() for k in "abn")
     of = exchange(a, b, n.astype(np.float64), units.n, classes, sweeps)
     pairs = np.bincount(of[a] * classes + of[b], n, classes * classes).reshape(classes, classes)
     endings = of[1 : 1 + ENDINGS]
     own = spark.createDataFrame([(int(w), int(k)) for w, k in zip(units.words.view(np.int64), of[1 + ENDINGS :])], "h long, k int")
     if own_class is not None:
-        own = own.union(own_classes(contexts(training, units, of, classes), pairs, own_class))
+        own = own.union(own_classes(contexts(training, units, of, classes, np.sort(top[most_units:])), pairs, own_class))
     by_ending = F.element_at(F.array(*map(F.lit, endings.tolist())), F.col("ending").cast("int") + 1)
     placed = written(spread.join(own.hint("shuffle_merge"), "h", "left").select("h", "c", F.coalesce("k", by_ending).cast("int").alias("k")))
-    least = max(1.0, tokens * head_share)
-    sent = placed.filter(F.col("c") >= least).toPandas()
-    head = Head(sent.h.to_numpy(np.int64).view(np.uint64), sent.c.to_numpy(np.int64), sent.k.to_numpy(np.int64), endings)
+    least = _least(placed, most_sent)
+    sent = placed.filter(F.col("c") >= least).toArrow()
+    head = Head(sent["h"].to_numpy().view(np.uint64), sent["c"].to_numpy(), sent["k"].to_numpy(), endings)
     pairs = class_pairs(training, head, classes)
     class_tokens, class_words = np.zeros(classes), np.zeros(classes)
     for r in placed.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():

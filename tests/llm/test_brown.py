@@ -36,17 +36,17 @@ def h(words):
     return brown.cut([" ".join(words).encode()])[:2]
 
 
-@pytest.mark.parametrize("head_share,piece,own", [(1e-6, 1 << 20, 2), (1e-2, 1 << 20, 2), (1e-2, 200, 2), (1e-2, 1 << 20, None)])
-def test_scores_match_plain_counting(spark, monkeypatch, head_share, piece, own):
+@pytest.mark.parametrize("sent,piece,own", [(10**6, 1 << 20, 2), (30, 200, 2), (30, 1 << 20, None)])
+def test_scores_match_plain_counting(spark, monkeypatch, sent, piece, own):
     for f in (brown.pieces, brown._slices):
         monkeypatch.setattr(f, "__defaults__", (piece,))
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, text string, h string")
-    model, rare = brown.fit(df, classes=8, most_units=20, head_share=head_share, own_class=own)
+    model, rare = brown.fit(df, classes=8, most_units=20, most_sent=sent, own_class=own, most_summed=40)
     counts = Counter("</s>" if w is None else w for _, t in train(rows) for w in [*WORD.findall(lower(t)), None])
     N, V = sum(counts.values()), len(counts)
     assert (model.tokens, model.words) == (N, V)
-    assert (len(model.head.h) < V - 1) == (head_share > 1e-3)
+    assert (len(model.head.h) < V - 1) == (sent < 100)
 
     types = [w for w in counts if w != "</s>"]
     classes = {int(x): int(k) for x, k in zip(model.head.h, model.head.k)}
@@ -90,7 +90,7 @@ def test_each_word_has_the_class_of_its_own_contexts(spark):
     rng = np.random.default_rng(4)
     of = np.r_[0, rng.integers(1, classes, units.n - 1)]
     pairs = rng.integers(0, 50, (classes, classes)).astype(float)
-    got = {r.h % 2**64: r.k for r in brown.own_classes(brown.contexts(df, units, of, classes), pairs, 2).collect()}
+    got = {r.h % 2**64: r.k for r in brown.own_classes(brown.contexts(df, units, of, classes, np.sort(h(words[15:30])[0])), pairs, 2).collect()}
     share = (pairs.sum(0) + 1) / (pairs.sum() + classes)
     step = (pairs + brown.PRIOR * share) / (pairs.sum(1, keepdims=True) + brown.PRIOR)
     score, count = {}, Counter(w for t in texts for w in t)
@@ -139,7 +139,7 @@ def test_a_word_that_training_lacks_in_a_third_of_all_rows(spark):
     held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
     rows = corpus() + [(held, "brandnew word of the fold " + "x" * (i % 5)) for i in range(150)] + [(None, "brandnew again")] * 150
     df = spark.createDataFrame(rows, "id long, text string")
-    model, rare = brown.fit(df, classes=8, most_units=20, head_share=1e-2)
+    model, rare = brown.fit(df, classes=8, most_units=20, most_sent=30)
     key = lambda r: (str(r.id), r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8))
     got = Counter(map(key, brown.score(df, model, rare).collect()))
     # Each different row alone, in a table where no word is frequent, times its number.
