@@ -115,3 +115,17 @@ class Seen:
         byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
         joined = rows.withColumn("_bucket", F.bitmap_bucket_number(self._at())).join(F.broadcast(self.tables), "_bucket", "left")
         return joined.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+#: Keys (about 40 bytes each) up to which they are broadcast.
+BROADCAST_KEYS = 250_000
+
+
+def without(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """The rows whose key is not in keys(by); a null key never is. Many keys are met by a shuffle of those rows alone that may
+    have one."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys.select(by)), by, "left_anti")
+    marked = Seen(keys, [by]).mark(rows, "_seen")
+    some = marked.filter("_seen").join(keys.select(by).hint("shuffle_merge"), by, "left_anti")
+    return marked.filter("NOT _seen").unionByName(some).drop("_seen")

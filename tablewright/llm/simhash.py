@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, drop, join_groups, table, written
+from .common import BROADCAST_KEYS, HOT_SHARE, Seen, drop, join_dealt, join_groups, table, without, written
 from .graph import components
 
 SHINGLE = 3
@@ -65,15 +65,20 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
         yield np.array([digest(b" ".join(tail), seed)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """A bit is 1 if over half of the hashes have it."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(text, shingle, seed):
+    for h in hashes:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """id, fp: the fingerprint's bits as a signed long."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -238,8 +243,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: The near-duplicate rule of the pipeline: five-word shingles, and the share of them that two texts have in common.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Ids (about 40 bytes each) up to which they are broadcast.
-BROADCAST_IDS = 250_000
 #: Texts in which common shingles are looked for, and how many of those are put last in the order of shingles. The order
 #: makes lists of texts short; whatever it is, no pair is missed.
 ORDER_TEXTS, ORDER_MOST = 20_000, 200_000
@@ -269,17 +272,31 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, keep_id of the documents that are near-duplicates of a document that stays; others, and those that stay,
-    are not returned.
+def parities(h: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by a power of two, at least twice as many as these: whether it is odd how many have
+    it. Two sets differ by as many elements as their parities differ in bits, at least."""
+    bits = 1 << max(6, (2 * len(h) - 1).bit_length() if len(h) else 0)
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
 
-    In order of ids, a text stays unless one before it that stays has the same words in the same order, or a Jaccard
-    similarity of their shingles of at least `similarity`, counted exactly. So what goes is similar to what stays, and
-    no two that stay are similar. Candidates are exact too: texts that share one of the first shingles of each
-    (prefix_length), in an order that puts common ones last. Rows that share an id share one fate.
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements by which two sets differ, at least, from their parities; the longer ones are folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
-    While lists of texts with a shingle are long, rounds decide the texts that are first in all their lists, each
-    against the rest of its lists; then all pairs are made of what is undecided.
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
+    """id, keep_id of the documents that are near-duplicates of another; those that stay are not returned.
+
+    Near-duplicate is a Jaccard similarity of shingles of at least `similarity`, counted exactly; the same words in the same
+    order are one text. First by SimHash: of the texts whose fingerprints (of their different shingles) are linked, through
+    anchors, to one component, those go that are similar to the first of it, by id. Fingerprints within a few bits miss
+    similar texts where one has a part more, so the texts that are left meet again, by shared first shingles
+    (prefix_length), in an order that puts common ones last: no similar pair is missed. In order of ids, a text stays
+    then unless one before it that stays is similar.
+
+    So no two that stay are similar, and what goes is similar to what stays, or to what goes for being similar to it. Rows that
+    share an id share one fate.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     kind = source.schema["id"].dataType.simpleString()
@@ -289,25 +306,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         often, times = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, same, size, first = batch.slice(at, 256), [], [], []
+                part, same, size, fp, odd, first = batch.slice(at, 256), [], [], [], [], []
                 for x in part.column(1):
-                    h = shingle_set(x.as_py(), shingle)
+                    text = x.as_py()
+                    h = shingle_set(text, shingle)
                     rank = np.zeros(len(h), dtype=np.int64)
                     if len(often):
                         k = np.minimum(np.searchsorted(often, h), len(often) - 1)
                         rank = np.where(often[k] == h, times[k], 0)
-                    same.append(word_sequence(x.as_py()))
+                    same.append(word_sequence(text))
                     size.append(len(h))
+                    fp.append(majority(h[i : i + PIECE] for i in range(0, len(h), PIECE)))
+                    odd.append(parities(h))
                     first.append(h[np.lexsort((h, rank))[: prefix_length(len(h), similarity)]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(same, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["id", "same", "size", "first"])
-
-    rows = written(source.mapInArrow(prints, f"id {kind}, same long, size long, first array<long>"))
-    classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("first").alias("first")))
-    lists = classes.select(F.explode("first").alias("h"), "same", "rep", "size")
+                signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(same), pa.array(size, pa.int64()), signed(fp), pa.array(odd, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "same", "size", "fp", "odd", "first"])
+
+    rows = written(source.mapInArrow(prints, f"id {kind}, same long, size long, fp long, odd binary, first array<long>"))
+    classes = written(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "fp", "odd", "first"))))
+    similar = lambda pairs: _verified(source, classes, pairs, shingle, similarity)
+    gone = [written(similar(_linked(classes, threshold, similarity)).select(F.col("b").alias("same"), F.col("a_rep").alias("keep_id")))]
+    lists = without(classes, gone[0], "same").select(F.explode("first").alias("h"), "same")
     lengths = written(lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     total = classes.agg(F.sum(F.size("first"))).first()[0] or 0
-    lists = written(join_groups(lists, lengths, ["h"], "m", total).drop("m"))
-    gone, before = [], None
+    lists = join_groups(lists, lengths, ["h"], "m", total).select("h", "same")
+    lists = written(lists.join(classes.select("same", "rep", "size").hint("shuffle_merge"), "same"))
+    before = None
     while True:
         heads = written(lists.groupBy("h").agg(F.min(F.struct("rep", "same")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
         n, pairs = heads.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - 1) / 2"))).first()
@@ -320,10 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = longer.filter("not leads").select("a", "a_rep", F.col("same").alias("b"), "rep", "size").distinct()
         sizes = written(met.groupBy("a").agg(F.count(F.lit(1)).alias("m")).join(tops, "a"))
         met = join_groups(met, sizes, ["a"], "m", n).filter(_sizes_fit(similarity)).select("a", "a_rep", "b")
-        close = written(_verified(source, classes, written(met), shingle, similarity))
-        gone.append(written(close.groupBy("b").agg(F.min("a_rep").alias("keep_id")).withColumnRenamed("b", "same")))
-        decided = tops.select(F.col("a").alias("same")).union(gone[-1].select("same"))
-        old, lists = lists, written(lists.join(F.broadcast(decided) if decided.count() <= BROADCAST_IDS else decided.hint("shuffle_merge"), "same", "left_anti"))
+        gone.append(written(similar(met).groupBy("b").agg(F.min("a_rep").alias("keep_id")).withColumnRenamed("b", "same")))
+        old, lists = lists, written(without(lists, tops.select(F.col("a").alias("same")).union(gone[-1].select("same")), "same"))
         for x in (old, heads, longer):
             drop(x)
     if n:
@@ -333,13 +355,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = both.select("h", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("part"), F.col("same").alias("a"), F.col("rep").alias("a_rep"), F.col("size").alias("a_size"))
         other = both.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("same").alias("b"), "rep", "size")
         met = one.join(other.hint("shuffle_merge"), ["h", "part"]).filter((F.col("a_rep") < F.col("rep")) | ((F.col("a_rep") == F.col("rep")) & (F.col("a") < F.col("b")))).filter(_sizes_fit(similarity))
-        gone += _in_order(written(_verified(source, classes, written(met.select("a", "a_rep", "b").distinct()), shingle, similarity)))
-    gone = reduce(DataFrame.union, gone) if gone else None
+        gone += _in_order(written(similar(met.select("a", "a_rep", "b").distinct())))
+    drop(lists)
+    gone = reduce(DataFrame.union, gone)
     # Copies go with the text they repeat: first all but the first of each class, then whole classes.
     copies = join_groups(rows.select("id", "same"), classes.select("same", "rep", "n"), ["same"], "n", rows.count())
-    if gone is None:
-        return copies.select("id", F.col("rep").alias("keep_id")).filter("id <> keep_id").distinct()
-    copies = copies.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "same", "left")
+    copies = copies.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("shuffle_merge"), "same", "left")
     return copies.select("id", F.coalesce("keep_id", "rep").alias("keep_id")).filter("id <> keep_id").distinct()
 
 
@@ -349,24 +370,50 @@ def _sizes_fit(similarity: float):
 
 def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the shingles that are common in a sample of the texts, and how many of it have each."""
-    share = max(1, source.count() // ORDER_TEXTS)
+    share = min(1.0, ORDER_TEXTS / max(1, source.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["h"])
+            for at in range(0, batch.num_rows, 64):
+                sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0).slice(at, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    sample = source.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text")
+    sample = source.select("text").sample(share, 6)
     found = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()
     h = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r[1] for r in found], dtype=np.int64)[order]
 
 
+def _linked(classes: DataFrame, threshold: int, similarity: float) -> DataFrame:
+    """Pairs (a, a_rep, b): a is the first text of each component of linked fingerprints, b any other of a fitting size."""
+    first = F.min(F.struct("rep", "same", "size")).alias("head")
+    fps = written(classes.groupBy("fp").agg(first, F.count(F.lit(1)).alias("m")))
+    roots = components(written(links(fps, threshold)))
+    fps = written(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", "m", F.coalesce("root", "fp").alias("root")))
+    heads = written(fps.groupBy("root").agg(F.min("head").alias("first"), F.sum("m").alias("docs"), F.count(F.lit(1)).alias("prints")).filter("docs > 1"))
+    of = written(join_groups(fps.select("fp", "m", "root"), heads.select("root", "first", "prints"), ["root"], "prints", fps.count()).select("fp", "m", "first"))
+    total = of.agg(F.sum("m")).first()[0] or 0
+    met = join_groups(classes.select("same", "size", "fp"), of, ["fp"], "m", total).filter("same <> first.same")
+    met = met.select(F.col("first.same").alias("a"), F.col("first.rep").alias("a_rep"), F.col("first.size").alias("a_size"), F.col("same").alias("b"), "size")
+    return met.filter(_sizes_fit(similarity)).select("a", "a_rep", "b")
+
+
 def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, a_rep, b) of classes that are similar, by all their shingles."""
-    wanted = written(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct().join(classes.select("same", "rep"), "same").select(F.col("rep").alias("id"), F.col("same").alias("wanted")))
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_merge")
+    """The pairs (a, a_rep, b) of classes that are similar: those whose parities allow it, then by all their shingles."""
+    pairs = written(pairs)
+    near = _with_both(pairs, classes.select("same", "size", "odd"))
+    most = (1 - similarity) / (1 + similarity)
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            keep = [least_difference(x.as_py(), y.as_py()) <= most * n + 1e-9 for x, y, n in zip(batch.column("odd_a"), batch.column("odd_b"), size)]
+            yield batch.select(["a", "a_rep", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = written(near.mapInArrow(allowed, pairs.select("a", "a_rep", "b").schema))
+    wanted = written(near.select(F.col("a").alias("same")).union(near.select("b")).distinct().join(classes.select("same", "rep"), "same").select(F.col("rep").alias("id"), F.col("same").alias("wanted")))
+    some = Seen(wanted, ["id"]).mark(source, "seen").filter("seen").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,14 +423,19 @@ def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, shingle:
                 own = [(w, x) for w, x in zip(part.column(1).to_pylist(), part.column(0).to_pylist()) if np.uint64(word_sequence(x)).view(np.int64) == w]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.int64()), pa.array([shingle_set(x, shingle).view(np.int64) for _, x in own], pa.list_(pa.int64()))], names=["same", "set"])
 
-    found = written(source.join(some, "id").select("text", "wanted").mapInArrow(sets, "same long, set array<long>").dropDuplicates(["same"]))
+    found = written(some.join(wanted.hint("shuffle_merge"), "id").select("text", "wanted").mapInArrow(sets, "same long, set array<long>").dropDuplicates(["same"]))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return _with_both(near, found).filter(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "a_rep", "b")
+
+
+def _with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs(a, a_rep, b) with the columns of of(same, ...) for either side, named by it."""
     total = pairs.count()
     for side in "ab":
-        of = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")))
-        of = of.join(found.select(F.col("same").alias(side), F.col("set").alias(f"set_{side}")), side)
-        pairs = join_groups(pairs, of, [side], "m", total).drop("m")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.filter(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "a_rep", "b")
+        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m"))
+        own = of.select(F.col("same").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in of.columns if c != "same"))
+        pairs = join_dealt(pairs, written(many.join(own.hint("shuffle_merge"), side)), [side], "m", total)
+    return pairs
 
 
 def _in_order(edges: DataFrame) -> list[DataFrame]:
