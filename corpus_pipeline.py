@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, lines, mixing, quality, simhash
-from tablewright.llm.common import table, written
+from tablewright.llm.common import table, without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids (about 40 bytes each) up to which they are broadcast.
-BROADCAST_IDS = 250_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     gone = written(simhash.near_duplicates(docs).select(F.col("id").alias("doc_id")))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, gone, "doc_id").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
