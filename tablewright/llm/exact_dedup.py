@@ -1,6 +1,10 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-DataFrame functions only. Two scans of the texts and shuffles of narrow rows; a text is never shuffled.
+DataFrame functions only. Each level reads the texts that the one before left over: first their lengths alone, then the
+first characters of those whose length recurs, then the whole of those whose length and prefix recur. Which these are is
+told by hashed bits of the surviving keys (common.Seen), of a bounded size that is sent to all tasks, so the levels are
+the same at every size and no text is ever shuffled; where there are more keys than the bits can tell apart, some texts
+are hashed that no other is like, which changes no result.
 
 Defined cases: a null text counts as empty; a null id is smaller than any other, and a group of null ids only
 has a null keep_id; rows that repeat an id and a text share one fate; an empty table gives an empty result.
@@ -12,34 +16,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, table, written
+from .common import MOST_BITS, Seen, join_groups, table, written
 
 #: Characters of the prefix that is hashed before the whole text.
 PREFIX = 64
-#: Largest number of candidate groups (16 bytes each) that is broadcast.
-BROADCAST_GROUPS = 200_000
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, broadcast_groups: int = BROADCAST_GROUPS, digests: bool = False) -> DataFrame:
-    """id, keep_id (largest id of the equal texts), group_size, kept, full_hash (null where no other text has
-    the same length and prefix, unless digests asks for all).
-
-    The first scan groups by length and prefix hash; one aggregation serves both levels, since two texts that
-    share both share the length. The second scan hashes whole texts of the surviving groups only. It finds them by a
-    broadcast of the surviving keys while those are at most broadcast_groups; beyond, every text is hashed where it
-    lies, which costs less than to shuffle the keys to the texts.
-    """
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digests: bool = False, most_bits: int = MOST_BITS) -> DataFrame:
+    """id, keep_id (largest id of the equal texts), group_size, kept, full_hash (null for texts that the levels before
+    told from all others, unless digests asks for all)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cols = [F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix)).alias("prefix")]
-    source = docs.select(*cols)
-    survivors = written(source.groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix"))
+    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("len"))
+    again = lambda rows, keys: written(rows.groupBy(*keys).count().filter("count > 1").select(*keys))
+    lengths = Seen(again(source, ["len"]), ["len"], most_bits)
+    source = lengths.mark(source, "open").withColumn("prefix", F.when(F.col("open"), F.xxhash64(F.substring("text", 1, prefix))))
+    prefixes = Seen(again(source.filter("open"), ["len", "prefix"]), ["len", "prefix"], most_bits)
     full = F.sha2(F.col("text"), 256)
-    if survivors.count() <= broadcast_groups:
-        marked = source.join(F.broadcast(survivors.withColumn("shared", F.lit(True))), ["len", "prefix"], "left")
-        marked = marked.select("id", F.coalesce("shared", F.lit(False)).alias("shared"), (full if digests else F.when(F.col("shared"), full)).alias("full_hash"))
-    else:
-        marked = source.select("id", F.lit(True).alias("shared"), full.alias("full_hash"))
-    marked = written(marked)
+    marked = prefixes.mark(source, "both").withColumn("shared", F.col("open") & F.col("both"))
+    marked = written(marked.select("id", "shared", (full if digests else F.when(F.col("shared"), full)).alias("full_hash")))
     shared = marked.filter("shared").drop("shared")
     groups = written(shared.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     total = groups.agg(F.sum("group_size")).first()[0] or 0

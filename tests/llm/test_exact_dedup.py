@@ -1,4 +1,4 @@
-"""Exact dedup against a dictionary, on both paths."""
+"""Exact dedup against a dictionary, with bits for all keys and with far too few."""
 
 import hashlib
 
@@ -7,13 +7,13 @@ import pytest
 from tablewright.llm.exact_dedup import exact_groups
 
 
-@pytest.mark.parametrize("broadcast_groups", [0, 1000])
-def test_groups(spark, broadcast_groups):
+@pytest.mark.parametrize("most_bits", [2, 1 << 28])
+def test_groups(spark, most_bits):
     long = "x" * 5000
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, long + "1"), (6, long + "2"), (7, long + "1"), (None, "a"), (8, "b"), (8, "b"), (None, "null only")]
-    rows += [(100 + i, "hot") for i in range(60)]
+    rows += [(100 + i, "hot") for i in range(60)] + [(None, "of none") for _ in range(60)] + [(9, f"own {i}") for i in range(60)] + [(10, long * 60 + "x"), (11, long * 60 + "y")]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, kept string")
-    got = exact_groups(df, broadcast_groups=broadcast_groups, digests=True).collect()
+    got = exact_groups(df, most_bits=most_bits, digests=True).collect()
     assert len(got) == len(rows)
     by_hash = {}
     for i, t in rows:
