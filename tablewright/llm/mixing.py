@@ -1,6 +1,7 @@
 """Mixing sources to target weights: hash-random order within each source, cut at the source's exact budget.
 
-Every document gets a hash-random key. Keys are uniform, so ranges of equal width hold about equally many
+Every document gets a hash-random key of its id and size. Rows that are equal in source, id and size are interchangeable:
+they are counted first, stand in the order as one, and are dealt out again at the end. Keys are uniform, so ranges of equal width hold about equally many
 documents; a source is dealt into ranges by its share of all documents, each range is sorted and summed on its own, and prefix sums
 of the range totals turn the local sums into positions in the source. A target above the source's size repeats the
 source in epochs; the last epoch is cut at the exact word.
@@ -29,15 +30,17 @@ RANGES = 4096
 LEAST_ROWS = 500
 #: Largest number of rows of a per-source table that is broadcast.
 BROADCAST_SOURCES = 100_000
+#: Equal rows that a task gives out at a time.
+COPIES = 1000
 
 
 def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def random_key(id_col: Column, seed: int) -> Column:
+def random_key(id_col: Column, size: Column, seed: int) -> Column:
     """The first 13 hex digits of an MD5, as a number: even over its range, and the same in any engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), size.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
@@ -60,25 +63,28 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 9, n_ranges: int = RANGES) -> DataFrame:
     """id, source, size, source_size, target, taken: the words that the mix takes of each document."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key")))
-    sources = written(source_targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size")), weights, share, most))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    sized = written(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", random_key(F.col("id"), F.col("size"), seed)))
+    sources = written(source_targets(sized.groupBy("source").agg(F.sum("copies").alias("source_rows"), F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most))
     side = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
     rows = sources.agg(F.sum("source_rows")).first()[0] or 0
     ranges = F.ceil(F.col("source_rows") / F.lit(max(LEAST_ROWS, rows / n_ranges)))
     placed = sized.join(side(sources.select(F.col("source").alias("of"), "source_rows", "source_size", "target")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(F.col("key") / F.lit(2.0**52) * ranges))
     within = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    totals = placed.groupBy(F.col("source").alias("of"), F.col("range").alias("at")).agg(F.sum("size").alias("total"))
+    local = placed.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
+    totals = placed.groupBy(F.col("source").alias("of"), F.col("range").alias("at")).agg(F.sum(F.col("size") * F.col("copies")).alias("total"))
     offsets = written(totals.withColumn("offset", F.coalesce(F.sum("total").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total"))
     side = F.broadcast if offsets.count() <= BROADCAST_SOURCES else (lambda x: x)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("before")))
-    return (
-        local.join(side(offsets), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-        .withColumn("taken", (epochs * F.col("size") + last).cast("long"))
-        .select("id", "source", "size", "source_size", "target", "taken")
-    )
+    local = local.join(side(offsets), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    # What is left for the first of equal rows and those after it, in the last epoch.
+    local = written(local.select("id", "source", "size", "source_size", "target", "copies", (epochs * F.col("size")).alias("full"), (rest - F.col("offset") - F.col("before")).alias("left")))
+    some = local.filter(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = local.filter(F.col("copies") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / COPIES) - 1))).repartition("id", "source", "size", "part")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1))).drop("part")
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
+    return some.unionByName(many).withColumn("taken", (F.col("full") + last).cast("long")).select("id", "source", "size", "source_size", "target", "taken")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +92,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS key
-  FROM documents),
+WITH counted AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sized AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 13))::BIGINT AS key
+  FROM counted),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (

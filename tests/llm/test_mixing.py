@@ -41,6 +41,18 @@ def test_targets_and_budgets(spark, monkeypatch, n_ranges):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, n_ranges=n_ranges).collect()))
 
 
+def test_an_id_with_a_third_of_all_rows(spark, monkeypatch):
+    """Null and repeated ids are spread over the order and stand in it as one; each budget is still cut at the word."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    rows = [((7, None, i)[i % 3], "w " * (3 if i % 4 else i % 50), "ab"[i % 5 == 0]) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), n_ranges=20).collect()
+    assert sorted((str(r.id), r.size, r.source) for r in got) == sorted((str(i), len(t.split()), s) for i, t, s in rows)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == math.floor(mine[0].target + 1e-9) and all(0 <= r.taken <= 2 * r.size for r in mine)
+        assert sum(0 < r.taken % r.size for r in mine if r.size) <= 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
