@@ -1,12 +1,14 @@
 """Language identification in two steps: the family, then one-versus-one linear SVMs within it.
 
 Features are hashed byte pairs and triples of the lower-cased text, other than letters one space, as square roots of
-shares. They are fitted on a bounded sample: PER_LANGUAGE labelled documents of each language, about, chosen by
-a hash of the id, and the MOST_LANGUAGES most frequent languages. Every text is scored as a whole.
+shares. They are fitted on a bounded sample: the same number of labelled texts of each language, PER_LANGUAGE of each and
+SAMPLE in all at most, chosen by hashes of language and text. Every language that has a text is learned, however
+many there are (of more than SAMPLE languages, SAMPLE). Every text is scored as a whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing could be
-learned; a null id falls in no fold, neither held out nor learned from; equal texts get equal predictions; an empty
-table gives an empty result. Only the named columns are read, and the text alone when predicting.
+learned; a null id falls in no fold, neither held out nor learned from; copies of a text under one language are learned
+from once; equal texts get equal predictions; an empty table gives an empty result. Only the named columns are read, and
+the text alone when predicting.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, table
+from .common import bucket, table, written
 
 BINS = 4096
-PER_LANGUAGE = 300
-MOST_LANGUAGES = 100
+#: Texts (8 kB of features each) that are learned from, of one language and in all.
+PER_LANGUAGE, SAMPLE = 300, 8000
 FOLDS, HELD_OUT = 5, 0
 
 # Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -62,17 +64,17 @@ def features(text: str) -> np.ndarray:
     return root / max(float(np.linalg.norm(root)), 1e-9)
 
 
-def svm(x: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> np.ndarray:
-    """A linear SVM (squared hinge, both classes of equal weight) by accelerated gradient steps; the last weight is
-    the bias."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float32)
+def svms(x: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> np.ndarray:
+    """Linear SVMs (squared hinge, both classes of equal weight) by accelerated gradient steps, one for each column of y;
+    the last weight is the bias."""
     y = y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = last = np.zeros(x.shape[1], dtype=np.float32)
+    ones = lambda side: np.maximum(1, side.sum(axis=0))
+    weight = np.where(y > 0, 0.5 / ones(y > 0), 0.5 / ones(y < 0)).astype(np.float32)
+    w = last = np.zeros((x.shape[1] + 1, y.shape[1]), dtype=np.float32)
     for k in range(steps):
         v = w + np.float32(k / (k + 3)) * (w - last)
-        slack = np.maximum(np.float32(0), 1 - y * (x @ v))
-        last, w = w, v - np.float32(0.2) * (np.float32(penalty) * v - 2 * ((weight * slack * y) @ x))
+        slack = weight * np.maximum(np.float32(0), 1 - y * (x @ v[:-1] + v[-1])) * y
+        last, w = w, v - np.float32(0.2) * (np.float32(penalty) * v - 2 * np.concatenate([x.T @ slack, slack.sum(axis=0, keepdims=True)]))
     return w
 
 
@@ -86,17 +88,18 @@ class Model:
         self.columns: dict[object, int] = {}
         weights = []
 
-        def add(key, rows, positive):
-            self.columns[key] = len(weights)
-            weights.append(svm(x[rows], np.where(positive[rows], 1.0, -1.0)))
+        def add(keys, rows, y):
+            for key in keys:
+                self.columns[key] = len(self.columns)
+            weights.append(svms(x[rows], y))
 
         if len(self.families) > 1:
-            for f in self.families:
-                add(f, np.arange(len(x)), of == f)
-        for f, members in self.members.items():
+            add(self.families, slice(None), np.where(of[:, None] == np.array(self.families, dtype=object), 1.0, -1.0))
+        for members in self.members.values():
             for a, b in combinations(members, 2):
-                add((a, b), np.flatnonzero((langs == a) | (langs == b)), langs == a)
-        self.weights = np.array(weights, dtype=np.float32).T if weights else np.zeros((BINS + 1, 0), dtype=np.float32)
+                rows = np.flatnonzero((langs == a) | (langs == b))
+                add([(a, b)], rows, np.where(langs[rows] == a, 1.0, -1.0)[:, None])
+        self.weights = np.concatenate(weights, axis=1) if weights else np.zeros((BINS + 1, 0), dtype=np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         margin = x @ self.weights[:-1] + self.weights[-1]
@@ -125,24 +128,25 @@ class Model:
 def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()).astype(np.float16).tobytes() if _LETTER.search(t.as_py()) else None for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
-
-    return rows.mapInArrow(run, "lang string, x binary").filter("x IS NOT NULL")
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """Learn from rows with a language outside the held-out fold. The driver gets per_language rows of each of
-    most_languages languages on average, 8 kB each, and never more than 1.5 times as many."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter((bucket("id", FOLDS) > HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(v) for l, n in counts.items() for v in (l, min(1.0, per_language / n))))
-    place = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = _featured(rows.filter(place < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text"))
-    got = sample.limit(int(1.5 * per_language * len(counts)) + 1).collect()
+            x = [features(t.as_py()).astype(np.float16).tobytes() if _LETTER.search(t.as_py()) else None for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.binary())], names=["lang", "same", "at", "x"])
+
+    return rows.mapInArrow(run, "lang string, same long, at double, x binary").filter("x IS NOT NULL")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Learn from rows with a language outside the held-out fold. The driver gets `sample` rows of 8 kB at most."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter((bucket("id", FOLDS) > HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("same", F.xxhash64("text"))
+    place = F.pmod(F.xxhash64(F.lit(5), "lang", "same"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    langs = written(rows.groupBy("lang").agg(F.approx_count_distinct("same").alias("n")))
+    each = max(1, min(per_language, sample // max(1, langs.count())))
+    # Half as many again, since the numbers of texts are estimates; then the first in the order of hashes.
+    share = langs.orderBy(F.xxhash64("lang"), "lang").limit(sample).select("lang", (F.lit(1.5 * each) / F.col("n") + 1e-6).alias("share"))
+    some = rows.withColumn("at", place).join(F.broadcast(share), "lang").filter(F.col("at") < F.col("share"))
+    some = _featured(some.select("lang", "same", "at", "text")).dropDuplicates(["lang", "same"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "same"))
+    got = some.withColumn("nth", first).filter(F.col("nth") <= each).select("lang", "x").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     if not got:
         return None
