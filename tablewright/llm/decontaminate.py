@@ -29,8 +29,8 @@ from .fm_index import FMIndex
 WINDOW = 10
 #: Bytes of text in a shard.
 SHARD = 2 << 20
-#: Words of benchmark items in a block.
-BLOCK_WORDS = 1 << 20
+#: Words of benchmark items in a block: some 20 MB in each Python worker.
+BLOCK_WORDS = 1 << 18
 #: Passes in one stage, each with a Python worker of its own; then the rows are written to the shared folder.
 CHAIN = 2
 
@@ -67,33 +67,43 @@ def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, longest: in
 
 
 class Phrases:
-    """The windows of a block of test items, as symbols."""
+    """The windows of a block of test items, as symbols: arrays, 50 bytes for each window of ten words and item."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        windows: dict[tuple[bytes, ...], set[str]] = {}
+        symbol: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        rows, owner = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
         for item, text in items:
             data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
             start, end = cut_words(data, np.zeros(1, dtype=np.int64)) if len(data) else ([], [])
             raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(start, end)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                windows.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.words = list(windows)
-        self.items = [sorted(x) for x in windows.values()]
-        vocabulary = sorted({w for x in windows for w in x})
-        self.symbol = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.longest = max(map(len, vocabulary), default=0)
-        self.window = window
-        self.lengths = np.array([len(x) for x in self.words], dtype=np.int64)
-        self.patterns = np.zeros((len(self.words), window), dtype=np.int64)
-        for row, x in zip(self.patterns, self.words):
-            row[window - len(x) :] = [self.symbol[w] for w in x]
-        joined = np.frombuffer(b"".join(vocabulary), dtype=np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64)
-        hashes = hash_words(joined, ends - [len(w) for w in vocabulary], ends, self.longest) if vocabulary else np.zeros(0, dtype=np.uint64)
+            words = np.array([symbol.setdefault(raw[a:b], len(symbol) + 1) for a, b in zip(start, end)], dtype=np.int32)
+            if len(words):
+                # An item of fewer words than a window is one, with symbol 0 before it.
+                words = np.r_[np.zeros(max(0, window - len(words)), dtype=np.int32), words]
+                rows.append(np.unique(np.lib.stride_tricks.sliding_window_view(words, window), axis=0))
+                owner.append(np.full(len(rows[-1]), number[item], dtype=np.int32))
+        owner = np.concatenate(owner)
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        order = np.lexsort((owner, of.ravel()))
+        #: The items of window w are owner[first[w] : first[w + 1]], each once or more.
+        self.owner, self.first = owner[order], np.searchsorted(of.ravel()[order], np.arange(len(self.patterns) + 1))
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.window, self.vocabulary = window, list(symbol)
+        sizes = np.array([len(w) for w in self.vocabulary], dtype=np.int64)
+        self.longest = int(sizes.max(initial=0))
+        ends = np.cumsum(sizes)
+        hashes = hash_words(np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8), ends - sizes, ends, self.longest)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.by_hash = hashes[order], order + 1
 
+    def words(self, w: int) -> list[bytes]:
+        return [self.vocabulary[s - 1] for s in self.patterns[w, self.window - self.lengths[w] :]]
+
+    def items(self, w: int) -> set[str]:
+        return {self.names[k] for k in self.owner[self.first[w] : self.first[w + 1]]}
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), dtype=np.int64)
@@ -125,13 +135,13 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict[
     counts = np.diff(edges)
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
-    if len(phrases.words) and len(start):
+    if len(phrases.patterns) and len(start):
         found = phrases.symbols(hash_words(data, start, end, phrases.longest))
         # A separator after each text keeps windows inside it.
         document = np.repeat(np.arange(len(texts)), counts)
         stream = np.zeros(len(found) + len(texts), dtype=np.int64)
         stream[np.arange(len(found)) + document] = found
-        index = FMIndex(stream, len(phrases.symbol))
+        index = FMIndex(stream, len(phrases.vocabulary))
         lo, hi = index.search(phrases.patterns, phrases.lengths)
         many = hi - lo
         window = np.repeat(np.arange(len(lo)), many)
@@ -141,13 +151,14 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict[
         in_stream = np.arange(len(found)) + document
         word = np.searchsorted(in_stream, at)
         for w, k in zip(window.tolist(), word.tolist()):
-            n = len(phrases.words[w])
+            wanted = phrases.words(w)
+            n = len(wanted)
             # The exact check: hashes stand for words up to here.
-            if all(raw[start[k + i] : end[k + i]] == x for i, x in enumerate(phrases.words[w])):
+            if all(raw[start[k + i] : end[k + i]] == x for i, x in enumerate(wanted)):
                 d = int(document[k])
                 first = k - int(edges[d])
                 spans.setdefault(d, []).append((first, first + n, int(start[k] - begins[d]), int(end[k + n - 1] - begins[d])))
-                items.setdefault(d, set()).update(phrases.items[w])
+                items.setdefault(d, set()).update(phrases.items(w))
     return counts.tolist(), spans, items
 
 
