@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
+from .faithfulness import radius_edges
 from .filters import duplicated
 from .profile import frequency_of_frequencies, histogram, n_histograms, replicated
 
@@ -156,37 +159,125 @@ def _row_of(parts) -> Column:
     return (F.col("_d") - pick(starts) + pick([r.lo for r in parts])).cast("long")
 
 
+#: Rows of a table (8 bytes a column each) that are sent to all tasks at a time.
+BLOCK_ROWS = 100_000
+
+
 def distances(x: DataFrame, y: DataFrame, columns: Sequence[str], p: int = 1) -> DataFrame:
-    """x_id, y_id, distance of all pairs of two id-keyed tables. For small tables: at most a million pairs."""
-    n = x.count() * y.count()
-    if n > 1_000_000:
-        raise ValueError(f"{n} pairs; use the radius join")
+    """x_id, y_id, distance of all pairs of two id-keyed tables. As many rows as pairs: for the nearest rows see nearest(),
+    for how distances are spread distance_counts()."""
     a = x.select(F.col("id").alias("x_id"), *(F.col(c).alias(f"x_{c}") for c in columns))
     b = y.select(F.col("id").alias("y_id"), *(F.col(c).alias(f"y_{c}") for c in columns))
     total = reduce(lambda s, c: s + F.pow(F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")), F.lit(p)), columns, F.lit(0.0))
-    return a.join(F.broadcast(b)).select("x_id", "y_id", F.pow(total, F.lit(1.0 / p)).alias("distance"))
+    b = F.broadcast(b) if b.count() <= BLOCK_ROWS else b
+    return a.crossJoin(b).select("x_id", "y_id", F.pow(total, F.lit(1.0 / p)).alias("distance"))
+
+
+def distance_counts(x: DataFrame, y: DataFrame, columns: Sequence[str], edges: Sequence[float], p: float = 1) -> DataFrame:
+    """edge, n, share: pairs of a row of x and a row of y with a distance of at most each edge, that is the distribution
+    function of all pair distances. Rows are counted by value first; values of y go to the tasks in blocks, and a task
+    returns a count for each edge, so no pair is ever a row. Of x against itself, pairs of a row with itself count too."""
+    a, b = (t.select(*(F.col(c).cast("double").alias(c) for c in columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")) for t in (x, y))
+    a, edges, parts = staged(a), np.array(sorted(edges), dtype=float), []
+
+    def against(block):
+        def run(batches):
+            total = np.zeros(len(edges), dtype=np.int64)
+            at, n = block.value
+            for batch in batches:
+                own, many = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1), batch.columns[-1].to_numpy()
+                for row, m in zip(own, many):
+                    d = (np.abs(at - row) ** p).sum(axis=1) ** (1 / p)
+                    # Counts of the first edge that each distance fits under.
+                    first = np.bincount(np.searchsorted(edges, d), n, len(edges) + 1)[:-1]
+                    total += m * first.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(edges), pa.array(total)], names=["edge", "n"])
+
+        return run
+
+    def flush(rows):
+        block = x.sparkSession.sparkContext.broadcast((np.array([r[:-1] for r in rows], dtype=float).reshape(len(rows), len(columns)), np.array([r[-1] for r in rows])))
+        parts.append(staged(a.mapInArrow(against(block), "edge double, n long").groupBy("edge").agg(F.sum("n").alias("n"))))
+
+    rows = []
+    for r in b.toLocalIterator():
+        rows.append(tuple(r))
+        if len(rows) == BLOCK_ROWS:
+            flush(rows)
+            rows = []
+    flush(rows)
+    found = reduce(DataFrame.union, parts).groupBy("edge").agg(F.sum("n").alias("n"))
+    every = float(x.count() * y.count()) or 1.0
+    running = F.sum("n").over(Window.orderBy("edge"))
+    return found.select("edge", running.alias("n"), (running / every).alias("share"))
+
+
+def nearest(x: DataFrame, y: DataFrame, columns: Sequence[str], k: int = 1, p: float = 1, others: bool = False) -> DataFrame:
+    """x_id, y_id, distance, r: the k nearest rows of y to each row of x, ties by id; with others (x and y are one table) but
+    the row itself.
+
+    Exact, by radius joins: those of small radius serve where rows are dense; only rows that have too few rows within it
+    meet a radius three times as wide. Equal rows of x are searched for once, and of equal rows of y the first ones alone.
+    """
+    want = k + 1 if others else k
+    copy = F.row_number().over(Window.partitionBy(*columns).orderBy("id"))
+    near = staged(y.select("id", *columns).withColumn("_c", copy).filter(F.col("_c") <= want).drop("_c"))
+    values = staged(x.select(*columns).distinct().withColumn("id", F.xxhash64(*columns)))
+    both = values.select(*columns).unionByName(near.select(*columns))
+    span = both.agg(*(F.max(c) - F.min(c) for c in columns)).first()
+    widest = sum(float(v or 0.0) ** p for v in span) ** (1 / p)
+    rows, left, found = near.count(), values, []
+    enough = min(want, rows)
+    radius = widest * (enough / max(1, rows)) ** (1 / len(columns)) / 4
+    by_distance = Window.partitionBy("x_id").orderBy("distance", "y_id")
+    while enough:
+        met = radius_edges(left, near, columns, radius, p)
+        met = staged(met.withColumn("r", F.row_number().over(by_distance)).filter(F.col("r") <= want))
+        done = met.groupBy("x_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("x_id")
+        found.append(met.join(done, "x_id", "left_semi"))
+        left = staged(left.join(done, left["id"] == done["x_id"], "left_anti"))
+        if radius > widest or left.isEmpty():
+            break
+        radius = 3 * radius if radius else 1.0
+    if not found:
+        return values.sparkSession.createDataFrame([], f"x_id {x.schema['id'].dataType.simpleString()}, y_id {y.schema['id'].dataType.simpleString()}, distance double, r int")
+    lists = reduce(DataFrame.union, found).groupBy("x_id").agg(F.sort_array(F.collect_list(F.struct("distance", "y_id"))).alias("near")).withColumnRenamed("x_id", "_v")
+    own = x.select(F.col("id").alias("x_id"), F.xxhash64(*columns).alias("_v")).join(lists, "_v")
+    picked = F.filter("near", lambda s: s["y_id"] != F.col("x_id")) if others else F.col("near")
+    out = own.select("x_id", F.posexplode(F.slice(picked, 1, k)).alias("r", "s"))
+    return out.select("x_id", F.col("s.y_id").alias("y_id"), F.col("s.distance").alias("distance"), (F.col("r") + 1).alias("r"))
 
 
 def nearest_ratio(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> float:
     """Mean distance of a synthetic row to the nearest real one, over that of a real row to the nearest other."""
-    near = lambda d: d.groupBy("x_id").agg(F.min("distance").alias("d")).agg(F.avg("d")).first()[0]
-    return near(distances(synth, real, columns)) / near(distances(real, real, columns).filter("x_id <> y_id"))
+    mean = lambda d: d.agg(F.avg("distance")).first()[0]
+    return mean(nearest(synth, real, columns)) / mean(nearest(real, real, columns, others=True))
+
+
+#: Numbers of neighbours over which the outlier factor is taken at its highest, and the factor of an outlier.
+LOF_RANGE, LOF_LIMIT = (20, 50), 1.5
 
 
-def outlier_factor(real: DataFrame, synth: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame:
-    """id, factor: local reachability of a row's k nearest real rows over its own; over 1 is sparser than they are."""
-    w = Window.partitionBy("x_id").orderBy("distance", "y_id")
-    knn = lambda d: staged(d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r"))
-    inner = knn(distances(real, real, columns).filter("x_id <> y_id"))
-    radius = inner.groupBy("x_id").agg(F.max("distance").alias("kdist"))
+def outlier_factor(real: DataFrame, synth: DataFrame, columns: Sequence[str], ks: tuple[int, int] = LOF_RANGE) -> DataFrame:
+    """id, factor, score. The factor is local reachability of a row's k nearest real rows over its own, at its highest over
+    all k from ks[0] to ks[1]; over 1 is sparser than they are. The score is LOF_LIMIT less the factor, 1 at most; below
+    0 is an outlier. No k is more than the number of other real rows. One search serves every k."""
+    n = real.count()
+    numbers = sorted({max(1, min(k, n - 1)) for k in range(ks[0], ks[1] + 1)})
+    inner, outer = staged(nearest(real, real, columns, numbers[-1], others=True)), staged(nearest(synth, real, columns, numbers[-1]))
+    each = lambda value: [F.avg(F.when(F.col("r") <= k, value(k))).alias(f"k{k}") for k in numbers]
+    radii = inner.groupBy("x_id").agg(*(F.max(F.when(F.col("r") <= k, F.col("distance"))).alias(f"d{k}") for k in numbers)).withColumnRenamed("x_id", "y_id")
 
     def density(neighbours: DataFrame) -> DataFrame:
-        reach = neighbours.join(radius.withColumnRenamed("x_id", "y_id"), "y_id").withColumn("reach", F.greatest("distance", "kdist"))
-        return reach.groupBy("x_id").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-10))).alias("density"))
+        reach = neighbours.join(radii, "y_id").groupBy("x_id").agg(*each(lambda k: F.greatest("distance", f"d{k}")))
+        return reach.select("x_id", *((1 / (F.col(f"k{k}") + F.lit(1e-10))).alias(f"own{k}") for k in numbers))
 
-    outer = knn(distances(synth, real, columns))
-    own, theirs = density(outer), density(inner).withColumnsRenamed({"x_id": "y_id", "density": "theirs"})
-    return outer.join(theirs, "y_id").groupBy("x_id").agg(F.avg("theirs").alias("theirs")).join(own, "x_id").select(F.col("x_id").alias("id"), (F.col("theirs") / F.col("density")).alias("factor"))
+    theirs = density(inner).withColumnRenamed("x_id", "y_id")
+    around = outer.join(theirs, "y_id").groupBy("x_id").agg(*each(lambda k: F.col(f"own{k}")))
+    factors = [F.col(f"k{k}") / F.col(f"own{k}") for k in numbers]
+    factor = F.greatest(*factors) if len(factors) > 1 else factors[0]
+    out = around.join(density(outer), "x_id").select(F.col("x_id").alias("id"), factor.alias("factor"))
+    return out.withColumn("score", F.least(F.lit(1.0), F.lit(LOF_LIMIT) - F.col("factor")))
 
 
 def plausible(real: DataFrame, synth: DataFrame, keys: Sequence[str], negate: bool = False) -> DataFrame:
@@ -194,7 +285,7 @@ def plausible(real: DataFrame, synth: DataFrame, keys: Sequence[str], negate: bo
     return synth.join(real.select(*keys).distinct(), list(keys), "left_anti" if negate else "left_semi")
 
 
-def inspection_set(real: DataFrame, synth: DataFrame, unmatched: DataFrame, columns: Sequence[str], keys: Sequence[str], k: int = 20) -> DataFrame:
+def inspection_set(real: DataFrame, synth: DataFrame, unmatched: DataFrame, columns: Sequence[str], keys: Sequence[str], ks: tuple[int, int] = LOF_RANGE) -> DataFrame:
     """Unmatched synthetic rows that are outliers and implausible."""
-    odd = outlier_factor(real, synth, columns, k).filter("factor > 1.5").select("id")
+    odd = outlier_factor(real, synth, columns, ks).filter("score < 0").select("id")
     return plausible(real, synth, keys, True).join(unmatched, "id", "left_semi").join(odd, "id", "left_semi")

@@ -587,12 +587,44 @@ def resampled_uniques(spark, d):
 ORACLES["resampled_uniques"] = _BASE + "SELECT count(*) AS n, 0::BIGINT AS unique_rows FROM items"
 
 
-@query()
+def _accounts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as real rows and customers as synthetic ones: nation and balance in hundreds."""
+    pick = lambda name, key, k: table(spark, d, name).select(F.col(f"{k}_{key}").alias("id"), F.col(f"{k}_nationkey").cast("double").alias("nation"), (F.col(f"{k}_acctbal") / 100).alias("bal"))
+    return pick("supplier", "suppkey", "s"), pick("customer", "custkey", "c")
+
+
+_ACCOUNTS = """
+WITH s AS (SELECT s_suppkey AS id, s_nationkey::DOUBLE AS nation, s_acctbal / 100 AS bal FROM supplier),
+c AS (SELECT c_custkey AS id, c_nationkey::DOUBLE AS nation, c_acctbal / 100 AS bal FROM customer),
+inner_pairs AS (SELECT a.id AS x, b.id AS y, abs(a.nation - b.nation) + abs(a.bal - b.bal) AS d FROM s a, s b WHERE a.id <> b.id),
+outer_pairs AS (SELECT a.id AS x, b.id AS y, abs(a.nation - b.nation) + abs(a.bal - b.bal) AS d FROM c a, s b)
+"""
+
+
+@query(_ACCOUNTS + """SELECT round((SELECT avg(m) FROM (SELECT min(d) AS m FROM outer_pairs GROUP BY x)) / (SELECT avg(m) FROM (SELECT min(d) AS m FROM inner_pairs GROUP BY x)), 6) AS ratio""")
 def nearest_ratio(spark, d):
     """Mean distance of customers to suppliers by nation and balance, over that among the suppliers."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("nation"), (F.col("s_acctbal") / 100).alias("bal"))
-    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("double").alias("nation"), F.lit(0.0).alias("bal"))
-    return one(spark, ratio=privacy.nearest_ratio(s, c, ["nation", "bal"]))
+    return one(spark, ratio=round(privacy.nearest_ratio(*_accounts(spark, d), ["nation", "bal"]), 6))
+
+
+@query(_ACCOUNTS + """SELECT edge::DOUBLE AS edge, count(*) FILTER (d <= edge) AS n, round(count(*) FILTER (d <= edge) / count(*), 9) AS share
+FROM outer_pairs, (VALUES (0.5), (2.0), (10.0), (40.0), (1000.0)) e(edge) GROUP BY edge""")
+def distance_distribution(spark, d):
+    """The distribution function of the distances of all customers to all suppliers."""
+    s, c = _accounts(spark, d)
+    return privacy.distance_counts(c, s, ["nation", "bal"], [0.5, 2.0, 10.0, 40.0, 1000.0]).withColumn("share", F.round("share", 9))
+
+
+@query(_ACCOUNTS + """, ks AS (SELECT DISTINCT greatest(1, least(k, (SELECT count(*) FROM s) - 1)) AS k FROM generate_series(20, 50) t(k)),
+inner_near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS r FROM inner_pairs) WHERE r <= 50),
+outer_near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS r FROM outer_pairs) WHERE r <= 50),
+radii AS (SELECT x, k, max(d) AS dk FROM inner_near, ks WHERE r <= k GROUP BY x, k),
+inner_own AS (SELECT i.x, ks.k, 1 / (avg(greatest(d, dk)) + 1e-10) AS own FROM inner_near i JOIN ks ON r <= ks.k JOIN radii t ON t.x = i.y AND t.k = ks.k GROUP BY i.x, ks.k),
+outer_own AS (SELECT i.x, ks.k, 1 / (avg(greatest(d, dk)) + 1e-10) AS own, avg(o.own) AS theirs FROM outer_near i JOIN ks ON r <= ks.k JOIN radii t ON t.x = i.y AND t.k = ks.k JOIN inner_own o ON o.x = i.y AND o.k = ks.k GROUP BY i.x, ks.k)
+SELECT x AS id, round(max(theirs / own), 6) AS factor, round(least(1.0, 1.5 - max(theirs / own)), 6) AS score FROM outer_own GROUP BY x""")
+def outlier_factors(spark, d):
+    """Outlier factors of customers among suppliers, over 20 to 50 neighbours."""
+    return privacy.outlier_factor(*_accounts(spark, d), ["nation", "bal"]).select("id", r6("factor").alias("factor"), r6("score").alias("score"))
 
 
 # --- faithfulness -------------------------------------------------------------------------------------------------
@@ -813,13 +845,6 @@ def propensity(spark, d):
     return one(spark, **got)
 
 
-@query()
-def outlier_factors(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("nation"), (F.col("s_acctbal") / 100).alias("bal"))
-    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("double").alias("nation"), F.lit(0.0).alias("bal"))
-    return privacy.outlier_factor(s, c, ["nation", "bal"], 5)
-
-
 @query()
 def cheapest_assignment(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("double").alias("k"), F.col("n_regionkey").cast("double").alias("r"))
