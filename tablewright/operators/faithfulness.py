@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import time
-from collections import defaultdict, deque
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import scale_by_weights
 from ..functions.stats import assignment
 from ..sources.tables import staged
+from .flows import match_counts
 
 #: Columns cut into cells, at most.
 CELL_COLUMNS = 2
@@ -33,6 +33,8 @@ CELL_COLUMNS = 2
 LOCAL_EDGES = 2_000_000
 #: Edges of a component beyond which it is matched greedily only, for an upper bound on beta. None: no limit.
 COMPONENT_EDGES = None
+#: Algorithms and time limits where nothing is known of the density.
+AUTO = (("push_relabel", 3600.0),)
 
 
 def configurations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,19 +42,25 @@ def configurations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64(*columns))
 
 
-def exact_columns(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> list[str]:
-    """Columns in which two values within alpha are equal: whole multiples of a step above alpha. One aggregate."""
+def _ranges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> tuple[list[str], dict[str, int]]:
+    """Columns in which two values within alpha are equal: whole multiples of a step above alpha; and into how many cells of
+    width alpha each column falls. One aggregate."""
     both = x.select(*columns).unionByName(y.select(*columns))
     steps = [s for s in (math.floor(alpha) + 1, 10, 100, 1000) if s > alpha]
-    row = both.agg(*(F.max(F.abs(F.col(c) - F.rint(F.col(c) / s) * s)).alias(f"{c}|{s}") for c in columns for s in steps)).first()
-    return [c for c in columns if any((row[f"{c}|{s}"] or 0.0) == 0.0 for s in steps)]
+    cells = [F.approx_count_distinct(F.floor(F.col(c) / alpha)).alias(f"{c}|cells") for c in columns] if alpha > 0 else []
+    row = both.agg(*cells, *(F.max(F.abs(F.col(c) - F.rint(F.col(c) / s) * s)).alias(f"{c}|{s}") for c in columns for s in steps)).first()
+    return [c for c in columns if any((row[f"{c}|{s}"] or 0.0) == 0.0 for s in steps)], {c: row[f"{c}|cells"] or 0 for c in columns} if alpha > 0 else {}
+
+
+def exact_columns(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> list[str]:
+    return _ranges(x, y, columns, alpha)[0]
 
 
 def radius_edges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float, p: float = 1, keys: Sequence[str] | None = None) -> DataFrame:
     """x_id, y_id, distance of all pairs of rows with a distance of at most alpha. x and y have an id."""
-    keys = exact_columns(x, y, columns, alpha) if keys is None else list(keys)
+    exact, spread = _ranges(x, y, columns, alpha)
+    keys = exact if keys is None else list(keys)
     rest = [c for c in columns if c not in keys]
-    spread = x.select(*rest).agg(*(F.approx_count_distinct(F.floor(F.col(c) / alpha)).alias(c) for c in rest)).first().asDict() if rest and alpha > 0 else {}
     celled = sorted(rest, key=lambda c: -spread.get(c, 0))[:CELL_COLUMNS] if alpha > 0 else []
     keys = keys if alpha > 0 else list(columns)
     a = x.select(F.col("id").alias("x_id"), *(F.col(c).alias(f"x_{c}") for c in columns), *(F.floor(F.col(c) / alpha).alias(f"k_{c}") for c in celled), *(F.col(c).alias(f"k_{c}") for c in keys))
@@ -98,127 +106,16 @@ def edge_components(edges: DataFrame) -> DataFrame:
             return e.join(labels, "u").select("x_id", "y_id", F.col("label").alias("block"))
 
 
-def match_counts(a: np.ndarray, b: np.ndarray, supply: dict, demand: dict, exact: bool = True) -> dict[tuple, int]:
-    """A maximum matching of a bipartite graph whose nodes have counts: (x, y) -> pairs. Greedy first, then augmenting
-    paths in phases by breadth, each path carrying what its ends and edges allow."""
-    out: dict = defaultdict(list)
-    for x, y in zip(a.tolist(), b.tolist()):
-        out[x].append(y)
-    free_x, free_y, flow = dict(supply), dict(demand), defaultdict(int)
-    back: dict = defaultdict(set)
-    for x in sorted(out, key=lambda k: len(out[k])):
-        for y in out[x]:
-            if not free_x[x]:
-                break
-            k = min(free_x[x], free_y[y])
-            if k:
-                flow[x, y] += k
-                back[y].add(x)
-                free_x[x] -= k
-                free_y[y] -= k
-    while exact:
-        # Levels of x nodes by alternating breadth-first search from those with rows left.
-        level = {x: 0 for x in out if free_x[x]}
-        queue, found = deque(level), False
-        while queue:
-            x = queue.popleft()
-            for y in out[x]:
-                found |= free_y[y] > 0
-                for z in back[y]:
-                    if z not in level:
-                        level[z] = level[x] + 1
-                        queue.append(z)
-        if not found:
-            break
-        moved, dead = 0, set()
-        for start in [x for x in out if free_x[x]]:
-            while free_x[start]:
-                # Depth-first along rising levels, with an explicit stack.
-                path, stack, seen, end = [], [(start, _moves(out[start], back, free_y))], {start}, None
-                while stack:
-                    x, steps = stack[-1]
-                    y, z = next(steps, (None, None))
-                    if y is None:
-                        dead.add(x)
-                        stack.pop()
-                        if path:
-                            path.pop()
-                    elif z is None:
-                        end = y
-                        break
-                    elif z not in seen and z not in dead and level.get(z, -1) == level[x] + 1:
-                        seen.add(z)
-                        path.append((x, y, z))
-                        stack.append((z, _moves(out[z], back, free_y)))
-                if end is None:
-                    break
-                k = min([free_x[start], free_y[end], *(flow[z, y] for _, y, z in path)])
-                last = path[-1][2] if path else start
-                for x, y, z in path:
-                    flow[x, y] += k
-                    back[y].add(x)
-                    flow[z, y] -= k
-                    if not flow[z, y]:
-                        back[y].discard(z)
-                flow[last, end] += k
-                back[end].add(last)
-                free_x[start] -= k
-                free_y[end] -= k
-                moved += k
-        if not moved:
-            # A phase may end on a level that a dead node hid: search once more without levels.
-            if not _augment_any(out, back, flow, free_x, free_y):
-                break
-    return {k: v for k, v in flow.items() if v}
-
-
-def _moves(ys, back, free_y):
-    """From a node's neighbours: (y, None) where y has rows left, else (y, z) for each z that holds y."""
-    for y in ys:
-        if free_y[y]:
-            yield y, None
-        else:
-            for z in sorted(back[y]):
-                yield y, z
-
-
-def _augment_any(out, back, flow, free_x, free_y) -> bool:
-    """One augmenting path by breadth-first search, if there is any."""
-    for start in [x for x in out if free_x[x]]:
-        came, queue = {start: None}, deque([start])
-        while queue:
-            x = queue.popleft()
-            for y in out[x]:
-                if free_y[y]:
-                    chain, node = [], x
-                    while came[node] is not None:
-                        chain.append((*came[node], node))
-                        node = came[node][0]
-                    k = min([free_x[start], free_y[y], *(flow[z, w] for _, w, z in chain)])
-                    for p, w, z in chain:
-                        flow[p, w] += k
-                        back[w].add(p)
-                        flow[z, w] -= k
-                        if not flow[z, w]:
-                            back[w].discard(z)
-                    flow[x, y] += k
-                    back[y].add(x)
-                    free_x[start] -= k
-                    free_y[y] -= k
-                    return True
-                for z in list(back[y]):
-                    if z not in came:
-                        came[z] = (x, y)
-                        queue.append(z)
-    return False
-
-
-def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, component_edges: int | None = COMPONENT_EDGES, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """x_id, y_id, pairs: how many rows of each configuration are matched. x and y have id and n. Edges may have an
-    `alpha`: each alpha's edges are then matched on their own, and the result has it too."""
+def solved(x: DataFrame, y: DataFrame, edges: DataFrame, candidates=AUTO, exact: bool = True, component_edges: int | None = COMPONENT_EDGES, local_edges: int = LOCAL_EDGES, most_edges: int | None = None) -> DataFrame:
+    """x_id, y_id, pairs: how many rows of each configuration are matched; and for each block of edges that was solved a row
+    without ids: its pairs (null if no candidate ended in time), algorithm, seconds. x and y have id and n. Edges may have
+    an `alpha`: each alpha's edges are then matched on their own, and the result has it too.
+
+    Candidates are (algorithm, seconds), tried in turn until one ends in time, or a dictionary of them by alpha."""
     keys = ["alpha"] if "alpha" in edges.columns else []
-    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("e")).agg(F.max("e")).first()[0] or 0
-    if sizes <= local_edges:
+    if most_edges is None:
+        most_edges = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("e")).agg(F.max("e")).first()[0] or 0
+    if most_edges <= local_edges:
         blocks = edges.withColumn("block", F.lit(0))
     elif keys:
         alphas = [r.alpha for r in edges.select("alpha").distinct().collect()]
@@ -230,11 +127,28 @@ def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, c
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         full = exact and (component_edges is None or len(block) <= component_edges)
-        got = match_counts(block.x_id.to_numpy(), block.y_id.to_numpy(), dict(zip(block.x_id, block.nx)), dict(zip(block.y_id, block.ny)), full)
-        out = pd.DataFrame([(u, v, k) for (u, v), k in got.items()], columns=["x_id", "y_id", "pairs"]).astype("int64")
+        supply, demand = dict(zip(block.x_id, block.nx)), dict(zip(block.y_id, block.ny))
+        got, name, took = None, None, 0.0
+        for name, seconds in candidates[float(block.alpha.iloc[0])] if isinstance(candidates, dict) else candidates:
+            began = time.monotonic()
+            try:
+                got = match_counts(block.x_id.to_numpy(), block.y_id.to_numpy(), supply, demand, full, name, seconds)
+            except TimeoutError:
+                continue
+            took = time.monotonic() - began
+            break
+        rows = [(u, v, k, None, None) for (u, v), k in (got or {}).items()]
+        rows.append((None, None, None if got is None else sum(got.values()), name if full else "greedy", took))
+        whole = zip(("x_id", "y_id", "pairs"), zip(*(r[:3] for r in rows)))
+        out = pd.DataFrame({k: pd.array(list(v), dtype="Int64") for k, v in whole}).assign(algorithm=[r[3] for r in rows], seconds=[r[4] for r in rows])
         return out.assign(**{k: block[k].iloc[0] for k in keys})
 
-    return blocks.groupBy(*keys, "block").applyInPandas(solve, "x_id long, y_id long, pairs long" + ", alpha double" * bool(keys))
+    return blocks.groupBy(*keys, "block").applyInPandas(solve, "x_id long, y_id long, pairs long, algorithm string, seconds double" + ", alpha double" * bool(keys))
+
+
+def matching(x: DataFrame, y: DataFrame, edges: DataFrame, exact: bool = True, component_edges: int | None = COMPONENT_EDGES, local_edges: int = LOCAL_EDGES, candidates=AUTO) -> DataFrame:
+    """x_id, y_id, pairs (and alpha): how many rows of each configuration are matched."""
+    return solved(x, y, edges, candidates, exact, component_edges, local_edges).filter("x_id IS NOT NULL").drop("algorithm", "seconds")
 
 
 def unmatched(table: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -249,33 +163,37 @@ def matching_info(x: DataFrame, y: DataFrame, pairs: DataFrame) -> dict:
     return {"beta": 1 - size / n if n else 0.0, "size": size, "unmatched_x": unmatched(x, pairs, "x_id"), "unmatched_y": unmatched(y, pairs, "y_id")}
 
 
-def choose_algorithm(dens: float, n: int) -> str:
-    """The published strategy starts with Hopcroft-Karp below these and push-relabel otherwise; both give
-    the same size, and here both are solved by the phases of match_counts."""
-    return "hopcroft_karp" if dens < 0.005 and n < 50_000 else "push_relabel"
+def auto_candidates(dens: float, n: int) -> list[tuple[str, float]]:
+    """Algorithms and their time limits in order. The published strategy tries Hopcroft-Karp for 300 s below this
+    density and size, and push-relabel for 3,600 s in any case."""
+    return ([("hopcroft_karp", 300.0)] if dens < 0.005 and n < 50_000 else []) + [("push_relabel", 3600.0)]
 
 
-def evaluate(x: DataFrame, y: DataFrame, weights: dict, alphas: Sequence[float], p: float = 1) -> list[dict]:
-    """A row for each alpha: alpha, beta, density, algorithm, duration (its share), pairs (configurations), unmatched. One
-    radius join at the largest alpha and one matching job serve all. Tables must have as many rows."""
+def evaluate(x: DataFrame, y: DataFrame, weights: dict, alphas: Sequence[float], p: float = 1, candidates="auto") -> list[dict]:
+    """A row for each alpha: alpha, beta, density, algorithm (that solved it), duration (its seconds), pairs
+    (configurations), unmatched. Candidates are tried in turn until one ends in time; if none does, beta is NaN. One radius join
+    at the largest alpha and one matching job serve all. Tables must have as many rows."""
     columns = x.columns
     cx, cy = (staged(configurations(scale_by_weights(t.select(*columns), weights), columns)) for t in (x, y))
-    n, m = (c.agg(F.sum("n")).first()[0] or 0 for c in (cx, cy))
+    n, m = (r.n or 0 for r in cx.agg(F.sum("n").alias("n")).withColumn("t", F.lit(0)).union(cy.agg(F.sum("n").alias("n")).withColumn("t", F.lit(1))).orderBy("t").collect())
     if n != m:
         raise AssertionError(f"{n} rows against {m}")
-    started = time.monotonic()
-    edges = staged(radius_edges(cx, cy, columns, max(alphas), p))
+    edges = radius_edges(cx, cy, columns, max(alphas), p)
     within = F.filter(F.array(*(F.lit(float(a)) for a in alphas)), lambda a: a >= F.col("distance"))
     near = edges.select("x_id", "y_id", F.explode(within).alias("alpha"))
-    counted = near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id")
-    rows = {r.alpha: r.rows for r in counted.groupBy("alpha").agg(F.sum(F.col("a") * F.col("b")).alias("rows")).collect()}
-    every = staged(matching(cx, cy, near))
-    sizes = {r.alpha: r.size for r in every.groupBy("alpha").agg(F.sum("pairs").alias("size")).collect()}
-    took, out = (time.monotonic() - started) / len(alphas), []
+    near = staged(near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id"))
+    stats = near.groupBy("alpha").agg(F.sum(F.col("a") * F.col("b")).alias("rows"), F.count(F.lit(1)).alias("edges")).collect()
+    dens = {float(a): 0.0 for a in alphas} | {r.alpha: density(r.rows, n) for r in stats}
+    plans = {a: auto_candidates(v, n) if candidates == "auto" else list(candidates) for a, v in dens.items()}
+    every = staged(solved(cx, cy, near.drop("a", "b"), plans, most_edges=max((r.edges for r in stats), default=0)))
+    info = every.filter("x_id IS NULL").groupBy("alpha").agg(F.sum("pairs").alias("size"), F.count_if(F.col("pairs").isNull()).alias("late"), F.max_by("algorithm", "seconds").alias("algorithm"), F.sum("seconds").alias("seconds"))
+    info, out = {r.alpha: r for r in info.collect()}, []
     for alpha in map(float, alphas):
-        pairs = every.filter(F.col("alpha") == alpha).drop("alpha")
-        dens = density(rows.get(alpha, 0), n)
-        out.append({"alpha": alpha, "beta": 1 - sizes.get(alpha, 0) / n if n else 0.0, "density": dens, "algorithm": choose_algorithm(dens, n), "duration": took, "pairs": pairs, "unmatched_x": unmatched(cx, pairs, "x_id"), "unmatched_y": unmatched(cy, pairs, "y_id")})
+        pairs = every.filter((F.col("alpha") == alpha) & F.col("x_id").isNotNull()).select("x_id", "y_id", "pairs")
+        got = info.get(alpha)
+        late = bool(got and got.late)
+        beta = float("nan") if late else 1 - (got.size if got else 0) / n if n else 0.0
+        out.append({"alpha": alpha, "beta": beta, "density": dens[alpha], "algorithm": got.algorithm if got else "", "duration": float("nan") if late else got.seconds if got else 0.0, "pairs": pairs, "unmatched_x": unmatched(cx, pairs, "x_id"), "unmatched_y": unmatched(cy, pairs, "y_id")})
     return out
 
 

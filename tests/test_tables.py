@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile
+from tablewright.operators import flows, acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile
 from tablewright.plans import birth, evaluate
 
 
@@ -160,9 +160,12 @@ def test_matching_is_maximum(seed):
     n, m = rng.randrange(1, 9), rng.randrange(1, 9)
     edges = [(i, j) for i in range(n) for j in range(m) if rng.random() < 0.35]
     supply, demand = {i: rng.randrange(1, 4) for i in range(n)}, {j: rng.randrange(1, 4) for j in range(m)}
-    got = faithfulness.match_counts(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), supply, demand)
-    assert all(sum(k for (a, _), k in got.items() if a == i) <= supply[i] for i in range(n))
-    assert all(sum(k for (_, b), k in got.items() if b == j) <= demand[j] for j in range(m)) and set(got) <= set(edges)
+    sizes = set()
+    for name in flows.SOLVERS:
+        got = faithfulness.match_counts(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), supply, demand, algorithm=name)
+        assert all(sum(k for (a, _), k in got.items() if a == i) <= supply[i] for i in range(n))
+        assert all(sum(k for (_, b), k in got.items() if b == j) <= demand[j] for j in range(m)) and set(got) <= set(edges)
+        sizes.add(sum(got.values()))
     # Plain augmenting paths over single rows.
     left, right = [i for i in range(n) for _ in range(supply[i])], [j for j in range(m) for _ in range(demand[j])]
     owner = {}
@@ -176,7 +179,44 @@ def test_matching_is_maximum(seed):
                     return True
         return False
 
-    assert sum(got.values()) == sum(grow(a, set()) for a in range(len(left)))
+    assert sizes == {sum(grow(a, set()) for a in range(len(left)))}
+
+
+def test_strategy(spark):
+    """Thresholds and time limits of the published strategy. A candidate that is late gives way to the next."""
+    assert faithfulness.auto_candidates(0.004, 49_999) == [("hopcroft_karp", 300), ("push_relabel", 3600)]
+    assert faithfulness.auto_candidates(0.005, 10) == faithfulness.auto_candidates(0.001, 50_000) == [("push_relabel", 3600)]
+    rng = random.Random(2)
+    x, y = (spark.createDataFrame([(float(rng.randrange(3000)),) for _ in range(3000)], "a double") for _ in range(2))
+    rows = {}
+    for plan in ("auto", [("edmonds_karp", 60)], [("hopcroft_karp", -1.0), ("push_relabel", 60)], [("hopcroft_karp", -1.0)]):
+        rows[str(plan)] = r = faithfulness.evaluate(x, y, {}, [30.0], candidates=plan)[0]
+        assert r["pairs"].count() > 0 or r["beta"] != r["beta"]
+    got = list(rows.values())
+    assert [r["algorithm"] for r in got] == ["push_relabel", "edmonds_karp", "push_relabel", "hopcroft_karp"]
+    assert got[0]["beta"] == got[1]["beta"] == got[2]["beta"] and got[3]["beta"] != got[3]["beta"] and 0 < got[0]["duration"] < 60
+
+
+def test_nearest_rows_match_brute_force(spark):
+    """Ties by id, copies, and a third of all rows in one place."""
+    from tablewright.operators import privacy
+
+    rng = random.Random(3)
+    rows = lambda n: [(k, 5.0, 5.0) if k % 3 == 0 else (k, round(rng.gauss(0, 40), 1), float(rng.randrange(6))) for k in range(n)]
+    a, b = rows(90), rows(120)
+    x, y = (spark.createDataFrame(t, "id long, p double, q double") for t in (a, b))
+    far = lambda u, v: abs(u[1] - v[1]) + abs(u[2] - v[2])
+    for k in (1, 7):
+        got = {}
+        for r in privacy.nearest(x, y, ["p", "q"], k).collect():
+            got.setdefault(r.x_id, {})[r.r] = (r.y_id, r.distance)
+        want = {u[0]: {i + 1: (v[0], far(u, v)) for i, v in enumerate(sorted(b, key=lambda v: (far(u, v), v[0]))[:k])} for u in a}
+        assert got == want
+    got = {(r.x_id, r.r): r.y_id for r in privacy.nearest(y, y, ["p", "q"], 4, others=True).collect()}
+    want = {(u[0], i + 1): v[0] for u in b for i, v in enumerate(sorted((v for v in b if v[0] != u[0]), key=lambda v: (far(u, v), v[0]))[:4])}
+    assert got == want
+    assert privacy.nearest(x, y.limit(0), ["p", "q"], 2).count() == 0 == privacy.nearest(x.limit(0), y, ["p", "q"], 2).count()
+    assert privacy.nearest(x, y.limit(2), ["p", "q"], 5).groupBy("x_id").count().filter("count <> 2").count() == 0
 
 
 def test_matching_by_components(spark):
