@@ -5,11 +5,14 @@ Most compare two halves of lineitem, the orders with even and with odd keys, as
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binning
-from ..operators import acceptance, bayesnet, faithfulness, filters, metrics, models, postprocess, privacy, profile, schema, transforms
+from ..operators import acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile, schema, transforms
+from ..sources import tables
 from ..sources.tables import table
 from . import birth, evaluate, report, selection
 
@@ -576,15 +579,12 @@ def kl_cumulative(spark, d):
     return privacy.cumulative(profile.histogram(items(spark, d), ["qty", "line", "disc"]))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (c = 1) AS unique_rows FROM (SELECT count(*) OVER (PARTITION BY qty, line, disc, stat) AS c FROM items WHERE FALSE) UNION ALL SELECT count(*), 0 FROM items")
+@query("SELECT qty, line, disc, stat, (SELECT count(*) FROM items) AS total FROM items GROUP BY ALL HAVING count(*) > 1")
 def resampled_uniques(spark, d):
-    """After resampling no row is unique and the size is as before."""
-    out = privacy.resample_uniques(items(spark, d).select("qty", "line", "disc", "stat"), 1)
-    h = profile.histogram(out)
-    return h.agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("unique_rows"))
-
-
-ORACLES["resampled_uniques"] = _BASE + "SELECT count(*) AS n, 0::BIGINT AS unique_rows FROM items"
+    """After resampling no row is unique, no other value is lost or new, and the size is as before."""
+    h = profile.histogram(privacy.resample_uniques(items(spark, d).select("qty", "line", "disc", "stat"), 1)).filter("n > 1")
+    total = F.broadcast(h.agg(F.sum("n").alias("total")))
+    return h.drop("n").join(total)
 
 
 def _accounts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -658,11 +658,14 @@ def matching_beta(spark, d):
 
 
 # --- post-processing, acceptance, release, models -----------------------------------------------------------------
-@query("SELECT count(*) AS total, TRUE AS above FROM items")
+@query("SELECT CASE WHEN n > 2 THEN n ELSE 0 END AS n, sum(n)::BIGINT AS rows, TRUE AS above FROM (SELECT count(*) AS n FROM items GROUP BY qty, line, disc, stat) GROUP BY 1")
 def min_count_profile(spark, d):
-    """After projections of orders 1 and 2 the size is as before and every row occurs over twice."""
-    out = postprocess.project(items(spark, d).select("qty", "line", "disc", "stat"), {"name": "min-count", "order": 2}, 3)
-    return profile.histogram(out).agg(F.sum("n").alias("total"), (F.min("n") > 2).alias("above"))
+    """After projections of orders 1 and 2 rows that occurred over twice have the counts that they had, and the others fill the
+    rest of the size, each over twice."""
+    x = items(spark, d).select("qty", "line", "disc", "stat")
+    before, after = profile.histogram(x).withColumnRenamed("n", "n0"), profile.histogram(postprocess.project(x, {"name": "min-count", "order": 2}, 3))
+    both = after.join(before, ["qty", "line", "disc", "stat"])
+    return both.groupBy(F.when(F.col("n0") > 2, F.col("n")).otherwise(0).cast("long").alias("n")).agg(F.sum("n").alias("rows"), (F.min("n") > 2).alias("above"))
 
 
 @query("""SELECT flag AS name, 25.5::DOUBLE AS expected, avg(qty) AS actual, avg(qty) < 25.5 AS "check" FROM items GROUP BY flag""")
@@ -725,10 +728,15 @@ def dp_release(spark, d):
     return got.release
 
 
-@query("SELECT 1152::BIGINT AS configs, 1152::BIGINT AS ids, 12::BIGINT AS data, 48::BIGINT AS hparams")
+@query("""SELECT t.theta, e.epsilon_split, o.ord, t.i + e.i AS tier, count(*) AS configs, count(*) AS ids FROM
+(SELECT unnest([2, 4, 8, 16, 20, 25, 30, 35, 40, 50, 60, 100])::BIGINT AS theta, unnest(range(12)) AS i) t,
+(SELECT unnest([0.1, 0.25, 0.5, 0.75])::DOUBLE AS epsilon_split, unnest(range(4)) AS i) e, (SELECT unnest([1, 2])::BIGINT AS ord) o, range(12) data
+GROUP BY ALL""")
 def config_grid(spark, d):
-    configs = list(selection.generation_configs(selection.MODELS, birth.TRANSFORMATIONS, 1.0, 0.0))
-    return selection.as_table(spark, configs).agg(F.count(F.lit(1)).alias("configs"), F.count_distinct("id").alias("ids"), F.count_distinct(F.substring("id", 1, 4)).alias("data"), F.count_distinct(F.substring("id", 6, 4)).alias("hparams"))
+    """Every parameter by every projection by twelve ways to represent the data, each with an id of its own."""
+    rows = [(c["hparams"]["theta"], c["hparams"]["epsilon_split"], c["dataset_projection"]["order"], c["tier"], c["id"]) for c in selection.generation_configs(selection.MODELS, birth.TRANSFORMATIONS, 1.0, 0.0)]
+    grid = spark.createDataFrame(rows, "theta long, epsilon_split double, ord long, tier long, id string")
+    return grid.groupBy("theta", "epsilon_split", "ord", "tier").agg(F.count(F.lit(1)).alias("configs"), F.count_distinct("id").alias("ids"))
 
 
 @query("SELECT qbin, least(count(*), 50)::BIGINT AS n FROM items GROUP BY qbin")
@@ -753,25 +761,33 @@ def average_ranks(spark, d):
     return profile.average_ranks(items(spark, d).select("l_orderkey", "line", "qty"), ["qty"])
 
 
-@query("SELECT 500::BIGINT AS n, 500::BIGINT AS different, 500::BIGINT AS known FROM items LIMIT 1")
+@query("SELECT count(*) // 3 AS n, count(*) // 3 AS different, count(*) // 3 AS known, (SELECT bit_xor(hash(o_orderkey)) FROM orders) IS NOT NULL AS every FROM orders")
 def exact_sample(spark, d):
-    """500 rows without replacement: as many different ones, all from the table."""
+    """A third of the orders without replacement: as many different ones, all from the table; and all rows, if all are asked for."""
     df = table(spark, d, "orders").select("o_orderkey")
-    got = privacy.sample(df, 500, 4)
-    return got.join(df.withColumn("known", F.lit(1)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.sum("known").alias("known"))
+    n = df.count()
+    got, every = privacy.sample(df, n // 3, 4), privacy.sample(df, n, 5)
+    lost = df.exceptAll(every).count() + every.exceptAll(df).count()
+    return got.join(df.withColumn("known", F.lit(1)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.sum("known").alias("known")).withColumn("every", F.lit(lost == 0))
 
 
-@query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS known FROM items LIMIT 1")
+@query("SELECT count(*) * 2 AS n, count(*) * 2 AS known FROM orders")
 def sample_with_replacement(spark, d):
+    """Twice as many draws as there are orders, all from the table."""
     df = table(spark, d, "orders").select("o_orderkey")
-    got = privacy.sample(df, 5000, 4, True)
+    got = privacy.sample(df, 2 * df.count(), 4, True)
     return got.join(df.withColumn("known", F.lit(1)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.sum("known").alias("known"))
 
 
-@query("SELECT count(*) AS n FROM items")
+@query("SELECT CASE WHEN n > 1 THEN n ELSE 0 END AS n, sum(n)::BIGINT AS rows, TRUE AS fit FROM (SELECT count(*) AS n FROM items GROUP BY qty, line, disc, stat) GROUP BY 1")
 def doubled_uniques(spark, d):
-    """Half of the unique rows twice: the size stays."""
-    return privacy.double_uniques(items(spark, d).select("qty", "line", "disc", "stat")).agg(F.count(F.lit(1)).alias("n"))
+    """Half of the unique rows twice: others have the counts that they had, and the rest of the size is made of unique ones,
+    of which one at most occurs once."""
+    x = items(spark, d).select("qty", "line", "disc", "stat")
+    before, after = profile.histogram(x).withColumnRenamed("n", "n0"), profile.histogram(privacy.double_uniques(x))
+    both = after.join(before, ["qty", "line", "disc", "stat"]).withColumn("low", F.col("n0") == 1)
+    out = both.groupBy(F.when(F.col("low"), 0).otherwise(F.col("n")).cast("long").alias("n")).agg(F.sum("n").alias("rows"), F.max("low").alias("low"), F.count_if(F.col("n") == 1).alias("once"), F.max("n").alias("most"))
+    return out.select("n", "rows", F.when(F.col("low"), (F.col("once") <= 1) & (F.col("most") <= 2)).otherwise(F.lit(True)).alias("fit"))
 
 
 @query("SELECT flag, stat FROM (SELECT DISTINCT flag FROM items), (SELECT DISTINCT stat FROM items)")
@@ -861,3 +877,81 @@ def network_transcript(spark, d):
 @query()
 def copula_rows(spark, d):
     return models.gaussian_copula(items(spark, d).select("qty", "price", "disc"), 1000, 1)
+
+
+# --- sources and sinks: written, read back ------------------------------------------------------------------------
+_KEPT = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+_KEPT_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+
+
+def _kept(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus", F.col("o_totalprice").cast("double"))
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice, form FROM orders, (VALUES ('csv'), ('parquet')) f(form)")
+def twin_round_trip(spark, d):
+    """A table written for people and for machines, read back from both."""
+    path = tables.scratch(spark)
+    tables.write_twin(_kept(spark, d), path)
+    read = {"csv": tables.read_csv(spark, f"{path}.csv", _KEPT_SCHEMA), "parquet": spark.read.parquet(f"{path}.parquet")}
+    return read["csv"].withColumn("form", F.lit("csv")).unionByName(read["parquet"].withColumn("form", F.lit("parquet")))
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+def split_json_round_trip(spark, d):
+    """Documents of columns and rows, as a tracker writes them, read back by name; a document for each status and month."""
+    columns = F.array(*(F.lit(c) for c in ("o_totalprice", "o_orderkey", "o_orderstatus", "o_custkey")))
+    row = F.array(*(F.col(c).cast("string") for c in ("o_totalprice", "o_orderkey", "o_orderstatus", "o_custkey")))
+    documents = _kept(spark, d).groupBy("o_orderstatus", F.pmod("o_orderkey", F.lit(12)).alias("k")).agg(F.to_json(F.struct(columns.alias("columns"), F.collect_list(row).alias("data"))).alias("value"))
+    path = tables.scratch(spark)
+    documents.repartition(36, "o_orderstatus", "k").select("value").write.option("lineSep", "\n\n").text(path)
+    return tables.read_split_json(spark, path, _KEPT_SCHEMA, line_sep="\n\n")
+
+
+@query("SELECT l_orderkey::VARCHAR || chr(9) || line::VARCHAR || chr(9) || disc::VARCHAR AS value FROM items")
+def tsv_lines(spark, d):
+    path = tables.scratch(spark)
+    tables.write_tsv(items(spark, d).select("l_orderkey", "line", "disc"), path)
+    return spark.read.text(path)
+
+
+@query("SELECT CASE WHEN stat = 1 THEN '1' ELSE '0' END || ' ' || (line + 1)::VARCHAR || ':1 ' || (disc + 9)::VARCHAR || ':1' AS value FROM items")
+def libsvm_lines(spark, d):
+    """One-hot features of line (eight codes) and discount; the label is the status."""
+    path = tables.scratch(spark)
+    tables.write_libsvm(items(spark, d).select("line", "disc", "stat"), path, "stat", {1}, {"line": 8, "disc": 11})
+    return spark.read.text(path)
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 150000")
+def filtered_by_expression(spark, d):
+    return filters.query(table(spark, d, "orders"), "o_totalprice >= 50000 AND o_totalprice <= 150000").select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"))
+
+
+@query("SELECT name, round(total, 6) AS total FROM (VALUES ('a', 2.0::DOUBLE), ('b', 0.6::DOUBLE), ('a b', 2.6::DOUBLE)) t(name, total)")
+def spent_budgets(spark, d):
+    """What an accountant adds up, and the variance of Laplace noise at those scales."""
+    book = mechanisms.Accountant()
+    for name, epsilon in (("a", 0.5), ("b", 0.6), ("a", 1.5)):
+        book.spend(name, epsilon)
+    total = lambda *names: math.fsum(e for n, e in book.spent if n in names)
+    return spark.createDataFrame([(" ".join(k), round(total(*k), 6)) for k in (("a",), ("b",), ("a", "b"))], "name string, total double")
+
+
+@query("""SELECT scale::DOUBLE AS scale, TRUE AS centred, TRUE AS spread FROM (VALUES (0.5), (2.0), (40.0)) t(scale)""")
+def laplace_moments(spark, d):
+    """Mean and mean absolute value of 20,000 draws lie within six standard errors of 0 and of the scale."""
+    rows = []
+    for scale in (0.5, 2.0, 40.0):
+        draws = [mechanisms.laplace_noise(scale) for _ in range(20_000)]
+        mean, size = math.fsum(draws) / len(draws), math.fsum(map(abs, draws)) / len(draws)
+        rows.append((scale, abs(mean) < 6 * scale * math.sqrt(2 / len(draws)), abs(size - scale) < 6 * scale / math.sqrt(len(draws))))
+    return spark.createDataFrame(rows, "scale double, centred boolean, spread boolean")
+
+
+@query("SELECT name, avg(v) AS mean, half FROM (SELECT half, unnest(['line', 'disc']) AS name, unnest([line, disc]) AS v FROM items) GROUP BY name, half")
+def marginal_means(spark, d):
+    """Means of two columns of both halves, from the stacked copies that reports are made of."""
+    x, y = halves(spark, d, ["line", "disc"])
+    both = x.withColumn("half", F.lit("real")).unionByName(y.withColumn("half", F.lit("synth")))
+    return both.select("half", F.explode(F.create_map(*(e for c in ("line", "disc") for e in (F.lit(c), F.col(c))))).alias("name", "v")).groupBy("name", "half").agg(F.avg("v").alias("mean"))

@@ -38,6 +38,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all machines share, removed with the staged tables."""
+    path = f"{_shared(spark)}/staged/{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_sweep)
+    _staged.extend((spark, f"{path}{end}") for end in ("", ".csv", ".parquet"))
+    return path
+
+
 def _sweep() -> None:
     for spark, path in _staged:
         if spark.sparkContext._jsc is not None:
@@ -78,10 +87,11 @@ def write_libsvm(df: DataFrame, path: str, label: str, positives: set[int], size
     df.select(F.concat_ws(" ", F.col(label).isin(*positives).cast("int").cast("string"), *pieces)).write.text(path)
 
 
-def read_split_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents of the form {"columns": [...], "data": [[...], ...]}; values are cast to the schema by name."""
+def read_split_json(spark: SparkSession, path: str, schema: str, line_sep: str | None = None) -> DataFrame:
+    """JSON documents of the form {"columns": [...], "data": [[...], ...]}, one a file, or several with line_sep between
+    them; values are cast to the schema by name."""
     fields = T.StructType.fromDDL(schema).fields
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True) if line_sep is None else spark.read.text(path, lineSep=line_sep)
     doc = F.from_json("value", "columns array<string>, data array<array<string>>")
     rows = text.select(doc.alias("d")).select("d.columns", F.explode("d.data").alias("row"))
     at = lambda name: F.get("row", F.array_position("columns", F.lit(name)) - 1)
