@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shipping import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 _staged: list[tuple[SparkSession, str]] = []
@@ -30,6 +32,7 @@ def _shared(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir and read again: random draws are drawn once, and a lost executor
     costs no recomputation. Removed when the session's process ends."""
+    ship(df.sparkSession)
     path = f"{_shared(df.sparkSession)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:
@@ -55,11 +58,13 @@ def _sweep() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, partitions: int | None = None) -> DataFrame:
     """CSV, plain or gzipped. A gzipped file is read by one task, so it is dealt out right after."""
+    ship(spark)
     df = spark.read.csv(path, header=True, schema=schema) if schema is not None else spark.read.csv(path, header=True, inferSchema=True)
     if path.endswith(".gz"):
         df = df.repartition(partitions or spark.sparkContext.defaultParallelism)
