@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 #: A group is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 1000
 
@@ -30,6 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what led to it."""
     path = f"{shared_dir(df.sparkSession)}/tablewright/{uuid.uuid4().hex}"
     schema = df.schema
+    ship(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_sweep)
@@ -59,6 +62,7 @@ def _sweep() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ship, table, written
 from .fm_index import FMIndex
 
 #: Words in a window.
@@ -231,6 +231,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, bloc
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """id, n_words, spans (merged; words and UTF-8 bytes), items (ids as strings), and with_text the text."""
+    ship(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for k, phrases in enumerate(blocks(benchmark, item_col, item_text_col, window, block_words)):
         out = written(out) if k and k % CHAIN == 0 else out
@@ -255,6 +256,7 @@ def _pass(phrases, shard: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """id, the text without its spans, contaminated, and in the struct `rest` the columns of carry. What the removal
     joined anew is searched again, until nothing is found; with several blocks of items, over all blocks."""
+    ship(docs.sparkSession)
     sc, shard = docs.sparkSession.sparkContext, options.get("shard", SHARD)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(False).alias("contaminated"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     passes = [sc.broadcast(p) for p in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, table, written
+from .common import bucket, ship, table, written
 
 BINS = 4096
 #: Texts (8 kB of features each) that are learned from, of one language and in all.
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

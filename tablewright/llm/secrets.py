@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 #: Ranks of the vocabulary, a line of base64 and number each; read on the driver and sent along, 16 MB at most.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -111,6 +111,7 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO, redact: bool = False) -> DataFrame:
     """id, n_assign, n_access, n_hex, n_random, base (its spans), spans (all), and with redact the text, each span
     replaced by its kind in angle brackets."""
+    ship(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         raw = f.read(MOST_BYTES + 1)
     if len(raw) > MOST_BYTES:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, HOT_SHARE, Seen, drop, join_dealt, join_groups, table, without, written
+from .common import BROADCAST_KEYS, HOT_SHARE, Seen, drop, join_dealt, join_groups, ship, table, without, written
 from .graph import components
 
 SHINGLE = 3
@@ -81,6 +81,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """id, fp: the fingerprint's bits as a signed long."""
+    ship(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
