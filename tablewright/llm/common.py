@@ -9,7 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shipping import ship
+from ..sources import shipping
+
+#: Bytes of rows that a Python worker gets at a time, unless the session says otherwise: whole texts can be long, and Spark's
+#: own limit is 64 MB.
+BATCH_BYTES, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: A group is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 1000
@@ -17,6 +21,13 @@ HOT_SHARE = 1 / 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Before any work in Python workers: the package, and batches of a bounded size."""
+    shipping.ship(spark)
+    if spark.conf.get(_BATCH) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all machines see; in tests, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
