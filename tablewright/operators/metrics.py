@@ -192,8 +192,8 @@ def resized(x: DataFrame, y: DataFrame, target: str, by: str, edges: Sequence[fl
     """g, size, resized mean of x, mean of y.
 
     A bin's size is y's count less a margin, 1 at least. A bin of x that is larger is cut to a random part of that size: the
-    rows with the smallest of uniform hashes, found by a threshold and a rank among the few near it, so
-    no bin has to be sorted as a whole. A smaller bin is padded with the midpoint, by arithmetic.
+    rows with the smallest of uniform numbers, found by a threshold and by the order of the few near it (about 12 times the
+    root of the size), so no bin has to be sorted as a whole. A smaller bin is padded with the midpoint, by arithmetic.
     """
     groups = by_groups(x, y, target, by, edges)
     total = groups.agg(F.sum("n_y")).first()[0] or 0
@@ -203,10 +203,13 @@ def resized(x: DataFrame, y: DataFrame, target: str, by: str, edges: Sequence[fl
     group = cut(F.col(by), edges) if edges is not None else F.col(by)
     rows = x.select(group.alias("g"), F.col(target).alias("t"), F.rand(seed).alias("u")).filter("g IS NOT NULL")
     large = groups.filter("n_x > size").select("g", "size", "n_x")
-    # About size + 6 sigma rows of a bin pass the threshold; they are ranked.
-    near = F.col("size") / F.col("n_x") + 6 * F.sqrt(F.col("size")) / F.col("n_x")
-    ranked = rows.join(F.broadcast(large), "g").filter(F.col("u") <= near).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("u"))).filter("r <= size")
-    cut_mean = ranked.groupBy("g").agg(F.avg("t").alias("cut"))
+    # Nearly all rows are surely below the threshold or above; those within six sigma of it are put in order, in the sums.
+    at, sigma = F.col("size") / F.col("n_x"), F.sqrt(F.col("size")) / F.col("n_x")
+    met = rows.join(large if edges is None else F.broadcast(large), "g").withColumn("sure", F.col("u") < at - 6 * sigma).filter(F.col("u") <= at + 6 * sigma)
+    sums = met.groupBy("g").agg(F.first("size").alias("most"), F.count_if("sure").alias("n"), F.sum(F.when(F.col("sure"), F.col("t").cast("double"))).alias("s"), F.collect_list(F.when(~F.col("sure"), F.struct("u", F.col("t").cast("double").alias("t")))).alias("near"))
+    first = F.slice(F.sort_array("near"), 1, F.greatest(F.lit(0), F.col("most") - F.col("n")).cast("int"))
+    taken = F.aggregate(first, F.coalesce("s", F.lit(0.0)), lambda s, v: s + v["t"])
+    cut_mean = sums.select("g", (taken / F.least(F.col("most"), F.col("n") + F.size("near"))).alias("cut"))
     padded = (F.col("sum_x") + (F.col("size") - F.col("n_x")) * F.lit(midpoint)) / F.col("size")
     mean = F.when(F.col("n_x") == 0, F.lit(None)).when(F.col("n_x") > F.col("size"), F.col("cut")).otherwise(padded)
     return groups.join(cut_mean, "g", "left").select("g", "size", mean.alias("mean_x"), "mean_y", "n_y")

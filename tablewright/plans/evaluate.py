@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -29,28 +30,37 @@ class Domain:
     strict_frequencies: bool = False
 
 
-def _scalars(x: DataFrame, y: DataFrame, correlations: tuple[dict, dict], domain: Domain, minimal: bool, analyses: Sequence[TwoWay], seed: int) -> list[tuple]:
-    """The result rows of one comparison that are not frequencies."""
-    rows = metrics.one_way(x, y, domain.bins)
-    groups: dict[tuple, DataFrame] = {}
+#: Jobs of one evaluation that run at a time; most are small, and wait for each other otherwise.
+JOBS = 8
+
+
+def _scalars(do: Callable, x: DataFrame, y: DataFrame, correlations: tuple[dict, dict], domain: Domain, minimal: bool, analyses: Sequence[TwoWay], seed: int) -> list[Callable[[], list[tuple]]]:
+    """The result rows of one comparison that are not frequencies, in order, as they come. do(f, ...) starts a job and gives what
+    to call for its result; correlations are such calls."""
+    out, groups = [do(metrics.one_way, x, y, domain.bins)], {}
     for an in analyses:
         edges = domain.bins[an.by] if an.binning else None
         if an.metric == "mean-resize-by-second":
-            got = metrics.mean_resized(x, y, an.target, an.by, edges, domain.midpoints[an.target], domain.margin_share, seed)
-            rows += [(float(v), f"{an.metric}/{k}", an.metric, an.target, an.binning, an.by, None) for k, v in got.items()]
+            got = do(metrics.mean_resized, x, y, an.target, an.by, edges, domain.midpoints[an.target], domain.margin_share, seed)
+            out.append(lambda an=an, got=got: [(float(v), f"{an.metric}/{k}", an.metric, an.target, an.binning, an.by, None) for k, v in got().items()])
         elif an.metric in ("mean", "median"):
-            key = (an.target, an.by)
+            key = (an.target, an.by, an.binning)
             if key not in groups:
-                groups[key] = staged(metrics.by_groups(x, y, an.target, an.by, edges))
-            rows.append((float(metrics.two_way(groups[key], an.metric)), an.metric, an.metric, an.target, an.binning, an.by, None))
+                groups[key] = do(_two_ways, x, y, an.target, an.by, edges)
+            out.append(lambda an=an, got=groups[key]: [(float(got()[an.metric]), an.metric, an.metric, an.target, an.binning, an.by, None)])
         else:
             raise TypeError(f"unknown metric {an.metric!r}")
-    joint = {"lr": metrics.linear_regression(x, y), "corr": metrics.correlation_differences(*correlations, domain.running_max)}
+    joint = {"lr": do(metrics.linear_regression, x, y), "corr": lambda: metrics.correlation_differences(*({m: f() for m, f in c.items()} for c in correlations), domain.running_max)}
     if not minimal:
-        joint["pMSE"] = metrics.propensity(x, y, seed)
-    for m, values in joint.items():
-        rows += [(None if v is None or v != v else float(v), f"{m}/{k}", m, None, False, None, None) for k, v in values.items()]
-    return rows
+        joint["pMSE"] = do(metrics.propensity, x, y, seed)
+    for m, got in joint.items():
+        out.append(lambda m=m, got=got: [(None if v is None or v != v else float(v), f"{m}/{k}", m, None, False, None, None) for k, v in got().items()])
+    return out
+
+
+def _two_ways(x: DataFrame, y: DataFrame, target: str, by: str, edges) -> dict[str, float]:
+    groups = staged(metrics.by_groups(x, y, target, by, edges))
+    return {m: metrics.two_way(groups, m) for m in ("mean", "median")}
 
 
 def compare(tables: dict[str, DataFrame], pairs: dict[str, tuple[str, str]], domain: Domain, minimal: bool = False, analyses: Sequence[TwoWay] = (), seed: int = 0) -> DataFrame:
@@ -60,21 +70,22 @@ def compare(tables: dict[str, DataFrame], pairs: dict[str, tuple[str, str]], dom
     """
     spark, columns = next(iter(tables.values())).sparkSession, next(iter(tables.values())).columns
     used = {t for p in pairs.values() for t in p}
-    tables = {k: staged(v.select(*columns)) for k, v in tables.items() if k in used}
-    sizes = {k: v.count() for k, v in tables.items()}
-    parts = []
-    for binning in (False, True):
-        source = {k: binned(v, domain.bins) if binning else v for k, v in tables.items()}
-        parts.append(subset_frequencies(source, columns, pairs, sizes, domain.strict_frequencies).withColumn("binning", F.lit(binning)))
-    frequencies = staged(parts[0].unionByName(parts[1]))
+    with ThreadPoolExecutor(JOBS) as pool:
+        do = lambda f, *args: pool.submit(f, *args).result
+        tables = {k: do(staged, v.select(*columns)) for k, v in tables.items() if k in used}
+        tables = {k: v() for k, v in tables.items()}
+        # Correlations are a table's own: each table's once, however many comparisons it is in.
+        of = {k: {m: do(metrics.correlations, v, m) for m in metrics.METHODS} for k, v in tables.items()}
+        scalars = {label: _scalars(do, tables[a], tables[b], (of[a], of[b]), domain, minimal, analyses, seed) for label, (a, b) in pairs.items()}
+        sizes, parts = {k: v.count() for k, v in tables.items()}, []
+        for binning in (False, True):
+            source = {k: binned(v, domain.bins) if binning else v for k, v in tables.items()}
+            parts.append(subset_frequencies(source, columns, pairs, sizes, domain.strict_frequencies).withColumn("binning", F.lit(binning)))
+        frequencies = staged(parts[0].unionByName(parts[1]))
+        rows = [(label, *r) for label, calls in scalars.items() for call in calls for r in call()]
     null = F.lit(None).cast("string")
     freq = frequencies.select("comparison", "val", "name", F.lit("frequencies").alias("metric"), null.alias("target"), "binning", null.alias("by"), "targets")
     rolled = roll_up(frequencies, len(columns)).select("comparison", "val", "name", "metric", null.alias("target"), "binning", null.alias("by"), F.lit(None).cast("array<string>").alias("targets"))
-    # Correlations are a table's own: each table's once, however many comparisons it is in.
-    of = {k: {m: metrics.correlations(v, m) for m in metrics.METHODS} for k, v in tables.items()}
-    rows = []
-    for label, (a, b) in pairs.items():
-        rows += [(label, *r) for r in _scalars(tables[a], tables[b], (of[a], of[b]), domain, minimal, analyses, seed)]
     scalars = spark.createDataFrame(rows, f"comparison string, {RESULT}")
     every = reduce(DataFrame.unionByName, (freq, rolled, scalars))
     return merge_comparisons({k: every.filter(F.col("comparison") == k).drop("comparison") for k in pairs}, KEYS)
