@@ -34,11 +34,19 @@ def staged(df: DataFrame) -> DataFrame:
     costs no recomputation. Removed when the session's process ends."""
     ship(df.sparkSession)
     path = f"{_shared(df.sparkSession)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _staged:
         atexit.register(_sweep)
     _staged.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    _remove(df.sparkSession, df._staged_at)
+    _staged[:] = [x for x in _staged if x[1] != df._staged_at]
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,9 +60,13 @@ def scratch(spark: SparkSession) -> str:
 
 def _sweep() -> None:
     for spark, path in _staged:
-        if spark.sparkContext._jsc is not None:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if spark.sparkContext._jsc is not None and spark.sparkContext._jvm is not None:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
