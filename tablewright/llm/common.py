@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import shipping
+from ..sources import shipping, tables
 
 #: Bytes of rows that a Python worker gets at a time, unless the session says otherwise: whole texts can be long, and Spark's
 #: own limit is 64 MB.
@@ -18,8 +14,6 @@ BATCH_BYTES, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A group is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 1000
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def ship(spark: SparkSession) -> None:
     """Before any work in Python workers: the package, and batches of a bounded size."""
@@ -28,53 +22,18 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; in tests, where it is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what led to it."""
-    path = f"{shared_dir(df.sparkSession)}/tablewright/{uuid.uuid4().hex}"
-    schema = df.schema
     ship(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((df.sparkSession, path))
-    out = df.sparkSession.read.schema(schema).parquet(path)
-    out._tablewright_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove a table of written() that nothing reads any more."""
-    path = df._tablewright_path
-    _remove(df.sparkSession, path)
-    _written[:] = [x for x in _written if x[1] != path]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return tables.staged(df)
 
 
-def _sweep() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None and spark.sparkContext._jvm is not None:
-            _remove(spark, path)
+drop = tables.unstaged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name)
 
 
 def bucket(id_col: str, mod: int) -> Column:

@@ -198,10 +198,10 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
     total = sizes.agg(F.sum("count")).first()[0] or 0
     limit = max(1, min(most_lines, max(least_lines, int(total * hot_share))))
     large = written(sizes.filter(F.col("count") > limit))
+    near = F.broadcast(large) if large.count() <= BROADCAST_LEAVES else large
     rows = members.withColumn("size", F.octet_length("tokens"))
-    found = [written(_grouped(rows.join(F.broadcast(large.select("leaf")), "leaf", "left_anti"), similar).select("line", "template"))]
-    # Leaves of over `limit` lines number total / limit at most.
-    left = written(rows.join(F.broadcast(large), "leaf").withColumn("part", F.pmod(F.xxhash64("line", F.lit(1)), F.ceil(F.col("count") / limit))))
+    found = [written(_grouped(rows.join(near.select("leaf"), "leaf", "left_anti"), similar).select("line", "template"))]
+    left = written(rows.join(near, "leaf").withColumn("part", F.pmod(F.xxhash64("line", F.lit(1)), F.ceil(F.col("count") / limit))))
     done, step = 0.0, limit
     while not left.isEmpty():
         # Hashes are even over their range, so a share of the range has that share of the leaf's lines.
@@ -210,11 +210,11 @@ def templates(members: DataFrame, similar: float = SIMILAR, hot_share: float = H
         began = written(_grouped(left.filter(first), similar))
         found.append(began.select("line", "template"))
         parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / limit) - 1)).alias("part")
-        firsts = began.filter("tokens IS NOT NULL").join(F.broadcast(large), "leaf").select("leaf", F.octet_length("tokens").alias("size"), "line", "tokens", parts)
+        firsts = began.filter("tokens IS NOT NULL").join(near, "leaf").select("leaf", F.octet_length("tokens").alias("size"), "line", "tokens", parts)
         rest = left.filter(~first).select("leaf", "part", "size", "line", "tokens")
         met = written(_joined(rest, firsts.select("leaf", "part", "size", "line", "tokens"), similar))
         found.append(met.filter("template IS NOT NULL").select("line", "template"))
-        left = written(met.filter("template IS NULL").drop("template").join(F.broadcast(large), "leaf"))
+        left = written(met.filter("template IS NULL").drop("template").join(near, "leaf"))
     return reduce(DataFrame.union, found)
 
 

@@ -8,8 +8,8 @@ fingerprints that differ by one bit in a block therefore meet at the home of eit
 full. Nothing is missed and no cap is set: the linked pairs are exactly those within the threshold.
 
 Equal fingerprints are one class before any comparison. An anchor's task returns a forest of its links, never all
-pairs. Anchors with over a thousandth of all replicas, 1,000 at most, are cut into blocks of rows that meet two by
-two in tasks of their own.
+pairs. Anchors with over a thousandth of all replicas, or over MOST_CELL of them, are cut into blocks of rows that meet
+two by two in tasks of their own.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other;
 a text of fewer words than a shingle is one shingle; a null id is never a component's id unless all are null; rows
@@ -37,6 +37,8 @@ THRESHOLD = 3
 SEED = 42
 #: Bytes of a text that are cut into words at a time.
 PIECE = 1 << 20
+#: Replicas at one anchor that are compared in one task, at most.
+MOST_CELL = 200_000.0
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -193,10 +195,10 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, hot_share: float = HOT
     rows = written(classes.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean"))
     total = rows.count()
     # Hot anchors by two counts: of 65,536 groups of anchors, then of the anchors in the hot groups only.
-    limit, group = F.lit(max(64.0, total * hot_share)), F.pmod(F.xxhash64("anchor"), F.lit(1 << 16)).alias("group")
+    limit, group = F.lit(min(MOST_CELL, max(64.0, total * hot_share))), F.pmod(F.xxhash64("anchor"), F.lit(1 << 16)).alias("group")
     hot_groups = rows.groupBy(group).count().filter(F.col("count") >= limit).select("group")
     hot = written(rows.withColumn("group", group).join(F.broadcast(hot_groups), "group", "left_semi").groupBy("anchor").count().filter(F.col("count") >= limit).select("anchor", F.ceil(2 * F.col("count") / limit).cast("int").alias("blocks")))
-    rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
     # A row of block i meets block j in cell (min, max); within a cell of two blocks only rows of different blocks are
     # compared, in a cell of one block all.
