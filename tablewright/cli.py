@@ -93,10 +93,11 @@ def main(argv: list[str] | None = None) -> int:
                 df.write.parquet(f"{args.out}/{name}")
     elif args.verb == "report":
         store = RunStore(spark, args.store)
-        synth, processed, utility = (store.read_artifact(args.run_id, n) for n in ("synth", "processed", "utility"))
-        report.marginal_summary(utility).write.parquet(f"{args.out}/marginals")
-        report.regressions({"processed": processed.drop("row_id"), "synth": synth}).write.parquet(f"{args.out}/regressions")
-        print(json.dumps({"run": args.run_id, "tables": ["marginals", "regressions"]}))
+        synth, processed, utility, rejected = (store.read_artifact(args.run_id, n) for n in ("synth", "processed", "utility", "rejected"))
+        found = report.full({"processed": processed.drop("row_id"), "synth": synth}, utility, birth.EVALUATION_BINS, rejected, store.runs(), store.read_metrics())
+        for name, df in found.items():
+            df.write.parquet(f"{args.out}/{name}")
+        print(json.dumps({"run": args.run_id, "tables": sorted(found)}))
     return 0
 
 

@@ -95,16 +95,22 @@ def weighted_choice(weights: Sequence[tuple[object, float]], u: Column) -> Colum
 
 def baseline(df: DataFrame, n: int, kind: str = "univariate", seed: int = 0, public: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
     """n rows of independent columns: uniform over each column's values, by their shares (univariate), or by the shares
-    in a public table. A column may have `limit` values."""
+    in a public table. A column of up to `limit` values is drawn in place; of one with more, rows (or values) are drawn
+    with replacement and joined by their number."""
     source = public if kind == "public" else df
-    out = df.sparkSession.range(n)
-    cols = []
+    cols, drawn = [], []
     for i, c in enumerate(df.columns):
-        counts = source.groupBy(c).count().orderBy(c).limit(limit + 1).collect()
+        counts = source.groupBy(c).count().limit(limit + 1).collect()
         if len(counts) > limit:
-            raise ValueError(f"{c} has more than {limit} values")
-        cols.append(weighted_choice([(r[0], 1 if kind == "uniform" else r[1]) for r in counts], F.rand(seed + i)).alias(c))
-    return staged(out.select(*cols))
+            values = source.select(F.col(c).alias(f"_{i}"))
+            drawn.append((i, sample(values.distinct() if kind == "uniform" else values, n, seed + i, True, "id")))
+        else:
+            counts.sort(key=lambda r: (r[0] is not None, r[0]))
+            cols.append(weighted_choice([(r[0], 1 if kind == "uniform" else r[1]) for r in counts], F.rand(seed + i)).alias(f"_{i}"))
+    out = df.sparkSession.range(n).select("id", *cols)
+    for _, d in drawn:
+        out = out.join(d, "id")
+    return staged(out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns))))
 
 
 def resample_uniques(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -122,8 +128,8 @@ def double_uniques(df: DataFrame, replace: bool = False, seed: int = 0) -> DataF
     return duplicated(df).unionByName(replicated(chosen, 2)).unionByName(extra)
 
 
-def sample(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
-    """Exactly n rows. Without replacement those with the n smallest random keys: the counts of RANGES ranges of keys
+def sample(df: DataFrame, n: int, seed: int = 0, replace: bool = False, number: str | None = None) -> DataFrame:
+    """Exactly n rows; with replacement they may have their numbers, from 0, in the column `number`. Without replacement those with the n smallest random keys: the counts of RANGES ranges of keys
     say which range holds the n-th, and only that one is put in order. With replacement each row's number of draws
     follows from the numbers drawn, which are spread over tasks as row numbers and joined."""
     if n <= 0:
@@ -144,8 +150,9 @@ def sample(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataF
     if not total:
         raise ValueError("nothing to draw from")
     draw = F.floor(F.rand(seed) * total)
-    draws = staged(df.sparkSession.range(n).select(draw.alias("_d"))).select(_row_of(parts).alias("_i"))
-    return staged(draws.join(numbered, "_i").drop("_i", "_p"))
+    draws = staged(df.sparkSession.range(n).select(F.col("id").alias("_n"), draw.alias("_d"))).select("_n", _row_of(parts).alias("_i"))
+    out = draws.join(numbered, "_i").drop("_i", "_p")
+    return staged(out.withColumnRenamed("_n", number) if number else out.drop("_n"))
 
 
 def _row_of(parts) -> Column:

@@ -234,7 +234,8 @@ def to_long(df: DataFrame, ids: Sequence[str], name: str = "variable", value: st
 
 
 def to_wide(df: DataFrame, index: Sequence[str], column: str, value: str, among: Sequence | None = None) -> DataFrame:
-    return df.groupBy(*index).pivot(column, list(among) if among else None).agg(F.first(value))
+    """A column for each value of `column`; the greatest value if an index has several."""
+    return df.groupBy(*index).pivot(column, list(among) if among else None).agg(F.max(value))
 
 
 def transposed(df: DataFrame, index: str) -> DataFrame:
@@ -255,9 +256,9 @@ def id_sets(a: DataFrame, b: DataFrame, key: str) -> dict[str, DataFrame]:
 
 
 def merge_comparisons(results: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """One value column for each comparison, matched on keys that may be null or arrays."""
+    """One value column for each comparison, matched on keys that may be null or arrays; the greatest value if keys repeat."""
     both = reduce(DataFrame.unionByName, (df.withColumn("_label", F.lit(k)) for k, df in results.items()))
-    return both.groupBy(*keys).agg(*(F.first(F.when(F.col("_label") == k, F.col("val")), ignorenulls=True).alias(k) for k in results))
+    return both.groupBy(*keys).agg(*(F.max(F.when(F.col("_label") == k, F.col("val"))).alias(k) for k in results))
 
 
 def with_match_flag(df: DataFrame, other: DataFrame, keys: Sequence[str] | None = None, flag: str = "matched") -> DataFrame:

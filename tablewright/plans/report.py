@@ -15,6 +15,7 @@ from ..functions.names import part
 from ..operators import metrics
 from ..operators.acceptance import noisy_ols, pseudo_threshold
 from ..operators.profile import contingency, describe, ecdf, histogram, n_histograms, pass_rates, tagged, to_wide, venn
+from ..sources.tables import staged
 
 
 def stacked(tables: dict[str, DataFrame], bins: dict[str, Sequence[float]]) -> DataFrame:
@@ -110,3 +111,23 @@ def resize_study(x: DataFrame, y: DataFrame, target: str, by: str, edges, midpoi
 def ratio_budgets(spark, epsilons: Sequence[float], min_counts: Sequence[int], threshold: float, prob_pass: float = 0.05) -> DataFrame:
     rows = [(float(e), m, *map(float, pseudo_threshold(prob_pass, m, threshold, e))) for e in epsilons for m in min_counts]
     return spark.createDataFrame(rows, "epsilon double, min_count int, pseudo_threshold double, clip double, sensitivity double, scale double")
+
+
+def full(tables: dict[str, DataFrame], utility: DataFrame, bins: dict[str, Sequence[float]], rejected: DataFrame | None = None, runs: DataFrame | None = None, run_metrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a report by name: processed and synth side by side, in all columns, pairs of binned columns and pairs
+    that one lacks, and all runs with what they passed."""
+    stack = staged(stacked(tables, bins))
+    binned = [c for c in stack.columns if c.endswith("_bin")]
+    columns = [c for c in stack.columns if c != "name" and c not in binned]
+    out = {"marginals": marginal_summary(utility), "profiles": column_profiles(stack, columns), "regressions": regressions(tables)}
+    out |= {f"ecdf-{c}": d for c, d in column_ecdfs(stack, columns).items()}
+    out |= {f"crosstab-{a}-{b}": d for (a, b), d in crosstabs(stack, binned).items()}
+    out |= {f"means-{c}-{b}": group_means(stack, c, b) for b in binned for c in columns if b != f"{c}_bin"}
+    if rejected is not None:
+        both = [c for c in tables["processed"].columns if c in rejected.columns and c in tables["synth"].columns]
+        out |= {f"unseen-{a}-{b}": unseen_pairs(tables["processed"], tables["synth"], rejected, a, b) for a, b in combinations(both, 2)}
+    if runs is not None and run_metrics is not None:
+        flags = sorted(r.key for r in run_metrics.select("key").distinct().collect())
+        rows = staged(run_table(runs, run_metrics, ["model", "tier", "num_categorical", "num_cat_cells"], flags))
+        out |= {"runs": rows, "accepted": accepted_rates(rows, ["model"]), "flags": venn_sizes(rows.select(*((F.col(f"`{f}`") > 0).alias(f) for f in flags)).toDF(*(f"flag_{k}" for k in range(len(flags)))), [f"flag_{k}" for k in range(len(flags))])}
+    return out

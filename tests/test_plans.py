@@ -106,6 +106,19 @@ def test_reports(spark):
     assert report.resize_study(x, x, "birth_weight", "gestation_week", [0, 37, float("inf")], 3000.0, 2).count() == 2
 
 
+def test_full_report(spark, tmp_path):
+    a, b = birth.example(spark, 150, 1), birth.example(spark, 150, 2)
+    store = runs.RunStore(spark, str(tmp_path))
+    for k in range(3):
+        store.metrics(store.log({"model": "ID", "tier": k}), {"x": 1, "y": k % 2})
+    empty = spark.createDataFrame([], "name string, metric string, target string, binning boolean, by string, targets array<string>, val_pr_s double")
+    bins = {"birth_weight": [0, 2500, 4000, float("inf")], "gestation_week": [0, 37, float("inf")]}
+    found = report.full({"processed": a, "synth": b}, empty, bins, b.limit(5), store.runs(), store.read_metrics())
+    assert {"marginals", "profiles", "regressions", "runs", "accepted", "flags", "crosstab-birth_weight_bin-gestation_week_bin", "means-parity-birth_weight_bin", "ecdf-parity", "unseen-mother_age-parity"} <= set(found)
+    assert found["runs"].count() == 3 and {r.n for r in found["flags"].collect()} == {1, 2}
+    assert found["means-parity-gestation_week_bin"].count() == 4 and found["profiles"].count() == 2
+
+
 def test_cli_span(tmp_path, capsys):
     assert cli.main(["span", str(tmp_path / "g"), "--epsilon", "1"]) == 0
     assert capsys.readouterr().out.strip() == "1152"

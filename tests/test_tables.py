@@ -182,6 +182,20 @@ def test_matching_is_maximum(seed):
     assert sizes == {sum(grow(a, set()) for a in range(len(left)))}
 
 
+@pytest.mark.parametrize("kind", ["univariate", "uniform"])
+def test_baseline_of_many_values(spark, kind):
+    """Columns beyond the limit are drawn row by row; the shares are those asked for."""
+    df = spark.createDataFrame([(k, k % 3, "hot" if k % 3 == 0 else f"v{k}") for k in range(900)], "a long, b int, c string")
+    out = privacy.baseline(df, 6000, kind, 1, limit=10)
+    rows = out.collect()
+    assert out.columns == df.columns and len(rows) == 6000 and {r.b for r in rows} == {0, 1, 2}
+    assert {r.a for r in rows} <= set(range(900)) and len({r.a for r in rows}) > 850
+    hot = sum(r.c == "hot" for r in rows) / 6000
+    assert abs(hot - (1 / 3 if kind == "univariate" else 1 / 601)) < 0.04
+    # Independent: a row's value says nothing of the others.
+    assert abs(sum(r.b == 0 for r in rows if r.c != "hot") / sum(r.c != "hot" for r in rows) - 1 / 3) < 0.05
+
+
 def test_strategy(spark):
     """Thresholds and time limits of the published strategy. A candidate that is late gives way to the next."""
     assert faithfulness.auto_candidates(0.004, 49_999) == [("hopcroft_karp", 300), ("push_relabel", 3600)]
