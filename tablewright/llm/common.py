@@ -78,7 +78,7 @@ class Seen:
         self.by, n = by, keys.count()
         self.bits = min(max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()), most_bits)
         at = self._at()
-        self.tables = written(keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+        self.tables = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
 
     def _at(self) -> Column:
         return F.pmod(F.xxhash64(F.lit(23), *self.by), F.lit(self.bits)).cast("long")

@@ -65,26 +65,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """id, source, size, source_size, target, taken: the words that the mix takes of each document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     sized = written(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", random_key(F.col("id"), F.col("size"), seed)))
-    sources = written(source_targets(sized.groupBy("source").agg(F.sum("copies").alias("source_rows"), F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most))
-    side = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
+    sources = source_targets(sized.groupBy("source").agg(F.sum("copies").alias("source_rows"), F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most)
+    # Ranges number n_ranges and one a source at most.
+    side = F.broadcast if sources.count() + n_ranges <= BROADCAST_SOURCES else (lambda x: x)
     rows = sources.agg(F.sum("source_rows")).first()[0] or 0
     ranges = F.ceil(F.col("source_rows") / F.lit(max(LEAST_ROWS, rows / n_ranges)))
     placed = sized.join(side(sources.select(F.col("source").alias("of"), "source_rows", "source_size", "target")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(F.col("key") / F.lit(2.0**52) * ranges))
     within = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
     totals = placed.groupBy(F.col("source").alias("of"), F.col("range").alias("at")).agg(F.sum(F.col("size") * F.col("copies")).alias("total"))
-    offsets = written(totals.withColumn("offset", F.coalesce(F.sum("total").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total"))
-    side = F.broadcast if offsets.count() <= BROADCAST_SOURCES else (lambda x: x)
+    offsets = totals.withColumn("offset", F.coalesce(F.sum("total").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     local = local.join(side(offsets), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     # What is left for the first of equal rows and those after it, in the last epoch.
-    local = written(local.select("id", "source", "size", "source_size", "target", "copies", (epochs * F.col("size")).alias("full"), (rest - F.col("offset") - F.col("before")).alias("left")))
-    some = local.filter(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    many = local.filter(F.col("copies") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / COPIES) - 1))).repartition("id", "source", "size", "part")
-    many = many.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1))).drop("part")
+    local = local.select("id", "source", "size", "source_size", "target", "copies", (epochs * F.col("size")).alias("full"), (rest - F.col("offset") - F.col("before")).alias("left"))
+    parts = local.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / COPIES) - 1))).repartition("id", "source", "size", "part")
+    each = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1)))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
-    return some.unionByName(many).withColumn("taken", (F.col("full") + last).cast("long")).select("id", "source", "size", "source_size", "target", "taken")
+    return each.withColumn("taken", (F.col("full") + last).cast("long")).select("id", "source", "size", "source_size", "target", "taken")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
