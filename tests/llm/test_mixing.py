@@ -22,9 +22,10 @@ def fill(sizes, share=1.5, most=2):
     return target
 
 
-@pytest.mark.parametrize("n_ranges", [1, 7, 4096])
-def test_targets_and_budgets(spark, monkeypatch, n_ranges):
+@pytest.mark.parametrize("n_ranges,broadcast", [(1, 10**5), (7, 0), (4096, 10**5)])
+def test_targets_and_budgets(spark, monkeypatch, n_ranges, broadcast):
     monkeypatch.setattr(mixing, "LEAST_ROWS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(i, "w " * (i * 7 % 23), ["a", "b", "c", "d", None][min(4, i % 9)]) for i in range(300)] + [(None, None, "a"), (5, "w " * 12, "d"), (5, "w " * 12, "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.F.lit("clash"))
     got = mixing.mix(df, n_ranges=n_ranges).collect()
