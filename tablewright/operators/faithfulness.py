@@ -6,7 +6,7 @@ neighbour cells too. The exact weighted distance is the residual filter. Only as
 pay: each triples one side.
 
 The matching is over configurations (a flow with counts as capacities), split into blocks that no edge leaves: the
-connected components. A component is solved on one executor; beta is one less the matched share and does not
+connected components, or the values of the exact columns. A block is solved on one executor; beta is one less the matched share and does not
 depend on which maximum matching is found.
 """
 
@@ -26,6 +26,7 @@ from ..functions.binning import scale_by_weights
 from ..functions.stats import assignment
 from ..sources.tables import staged
 from .flows import match_counts
+from .ranges import Ranges, match_ranges
 
 #: Columns cut into cells, at most.
 CELL_COLUMNS = 2
@@ -42,14 +43,14 @@ def configurations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64(*columns))
 
 
-def _ranges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> tuple[list[str], dict[str, int]]:
+def _ranges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> tuple[list[str], dict[str, int], int]:
     """Columns in which two values within alpha are equal: whole multiples of a step above alpha; and into how many cells of
-    width alpha each column falls. One aggregate."""
+    width alpha each column falls; and the number of rows. One aggregate."""
     both = x.select(*columns).unionByName(y.select(*columns))
     steps = [s for s in (math.floor(alpha) + 1, 10, 100, 1000) if s > alpha]
     cells = [F.approx_count_distinct(F.floor(F.col(c) / alpha)).alias(f"{c}|cells") for c in columns] if alpha > 0 else []
-    row = both.agg(*cells, *(F.max(F.abs(F.col(c) - F.rint(F.col(c) / s) * s)).alias(f"{c}|{s}") for c in columns for s in steps)).first()
-    return [c for c in columns if any((row[f"{c}|{s}"] or 0.0) == 0.0 for s in steps)], {c: row[f"{c}|cells"] or 0 for c in columns} if alpha > 0 else {}
+    row = both.agg(F.count(F.lit(1)).alias("|rows"), *cells, *(F.max(F.abs(F.col(c) - F.rint(F.col(c) / s) * s)).alias(f"{c}|{s}") for c in columns for s in steps)).first()
+    return [c for c in columns if any((row[f"{c}|{s}"] or 0.0) == 0.0 for s in steps)], {c: row[f"{c}|cells"] or 0 for c in columns} if alpha > 0 else {}, row["|rows"]
 
 
 def exact_columns(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float) -> list[str]:
@@ -58,7 +59,7 @@ def exact_columns(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: flo
 
 def radius_edges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float, p: float = 1, keys: Sequence[str] | None = None) -> DataFrame:
     """x_id, y_id, distance of all pairs of rows with a distance of at most alpha. x and y have an id."""
-    exact, spread = _ranges(x, y, columns, alpha)
+    exact, spread, _ = _ranges(x, y, columns, alpha)
     keys = exact if keys is None else list(keys)
     rest = [c for c in columns if c not in keys]
     celled = sorted(rest, key=lambda c: -spread.get(c, 0))[:CELL_COLUMNS] if alpha > 0 else []
@@ -75,6 +76,95 @@ def radius_edges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: floa
     return joined.withColumn("distance", distance).filter(F.col("distance") <= alpha).select("x_id", "y_id", "distance")
 
 
+#: Types whose differences are the same in Spark and as doubles.
+RANGE_TYPES = ("double", "int", "smallint", "tinyint")
+#: Tasks that blocks of ranges are dealt to, and rows a task beyond which there are more.
+RANGE_TASKS, RANGE_ROWS = 48, 100_000
+
+
+def as_ranges(x: DataFrame, y: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether pairs can be counted and matched by ranges."""
+    return all(t in RANGE_TYPES for df in (x, y) for c, t in df.dtypes if c in columns)
+
+
+def _sides(x: DataFrame, y: DataFrame, columns: Sequence[str], on: Sequence[str], rows: int) -> DataFrame:
+    """Both tables in one, told apart by `_x`, dealt by `on` to tasks that are not merged: what little they read says nothing
+    of the work."""
+    keep = ["id", "n", *on]
+    both = [t.dropna(subset=list(columns)).select(*keep, *(F.col(c).cast("double").alias(f"v_{c}") for c in columns), F.lit(side).alias("_x")) for t, side in ((x, True), (y, False))]
+    return both[0].unionByName(both[1]).repartition(RANGE_TASKS + rows // RANGE_ROWS, *on)
+
+
+def _halves(batches, columns: Sequence[str], on: Sequence[str]):
+    """A task's rows of x and of y, their values, and the numbers of their blocks; None without rows of both."""
+    both = pd.concat(list(batches) or [pd.DataFrame({"_x": []})], ignore_index=True)
+    if both["_x"].nunique() < 2:
+        return None
+    side = both["_x"].to_numpy(dtype=bool)
+    block = both.groupby(list(on), sort=False).ngroup().to_numpy() if on else np.zeros(len(both), dtype=np.int64)
+    values = both[[f"v_{c}" for c in columns]].to_numpy(dtype=float)
+    return both[side], both[~side], values[side], values[~side], (block[side], block[~side])
+
+
+def radius_counts(x: DataFrame, y: DataFrame, columns: Sequence[str], alphas: Sequence[float], p: float = 1) -> dict[float, tuple[int, int]]:
+    """For each alpha the number of pairs within it, of configurations and of the rows that they stand for. x and y have id and
+    n. No pair is made: on lines of rows that differ in one column alone, what is within alpha is a range (`ranges`). Cells are
+    those of the radius join, but of one column."""
+    alphas, widest = [float(a) for a in alphas], float(max(alphas))
+    exact, spread, rows = _ranges(x, y, columns, widest)
+    keys = exact if widest > 0 else list(columns)
+    celled = sorted((c for c in columns if c not in keys), key=lambda c: -spread.get(c, 0))[:1]
+    on = [f"k_{c}" for c in [*keys, *celled]]
+    for c in keys:
+        x, y = (t.withColumn(f"k_{c}", F.col(c).cast("double")) for t in (x, y))
+    for c in celled:
+        cell = F.floor(F.col(c) / F.lit(widest * (1 + 1e-9)))
+        x, y = x.withColumn(f"k_{c}", cell), y.withColumn(f"k_{c}", F.explode(F.array(cell - 1, cell, cell + 1)))
+
+    def count(batches):
+        halves = _halves(batches, columns, on)
+        if halves is None:
+            return
+        a, b, of_a, of_b, blocks = halves
+        sums = [Ranges(of_a, of_b, alpha, p, blocks).sums(a["n"].to_numpy(), b["n"].to_numpy()) for alpha in alphas]
+        yield pd.DataFrame({"alpha": alphas, "edges": [s[0] for s in sums], "rows": [s[1] for s in sums]})
+
+    found = _sides(x, y, columns, on, rows).mapInPandas(count, "alpha double, edges long, rows long")
+    got = {r.alpha: (int(r.edges), int(r.rows)) for r in found.groupBy("alpha").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("edges", "rows"))).collect()}
+    return {a: got.get(a, (0, 0)) for a in alphas}
+
+
+def solved_ranges(x: DataFrame, y: DataFrame, columns: Sequence[str], alphas: Sequence[float], p: float = 1, seconds: float | None = None) -> DataFrame:
+    """Like `solved`, for each alpha, but no edge is ever a row: tasks get whole blocks of configurations that agree in the exact
+    columns, and match them by ranges. For graphs with too many edges for one task."""
+    exact, _, rows = _ranges(x, y, columns, float(max(alphas)))
+    each = F.explode(F.array(*(F.lit(float(a)) for a in alphas)))
+    on = ["alpha", *(f"k_{c}" for c in exact)]
+    x, y = (t.select("*", *(F.col(c).cast("double").alias(f"k_{c}") for c in exact), each.alias("alpha")) for t in (x, y))
+
+    def solve(batches):
+        halves = _halves(batches, columns, on)
+        if halves is None:
+            return
+        a, b, of_a, of_b, blocks = halves
+        for alpha in np.unique(a["alpha"]):
+            i, j = (np.flatnonzero(t["alpha"].to_numpy() == alpha) for t in (a, b))
+            began = time.monotonic()
+            r = Ranges(of_a[i], of_b[j], float(alpha), p, (blocks[0][i], blocks[1][j]))
+            try:
+                got = match_ranges(r, a["n"].to_numpy()[i], b["n"].to_numpy()[j], seconds)
+            except TimeoutError:
+                got = None
+            u, v, k = (np.array(z, dtype=np.int64) for z in zip(*got)) if got else (np.zeros(0, dtype=np.int64),) * 3
+            pairs = pd.DataFrame({"x_id": a["id"].to_numpy()[i[u]], "y_id": b["id"].to_numpy()[j[v]], "pairs": k}).astype("Int64")
+            yield pairs.assign(algorithm=None, seconds=None, alpha=alpha)
+            total = pd.array([None if got is None else int(k.sum())], dtype="Int64")
+            none = pd.array([None], dtype="Int64")
+            yield pd.DataFrame({"x_id": none, "y_id": none, "pairs": total, "algorithm": ["hopcroft_karp"], "seconds": [time.monotonic() - began], "alpha": [alpha]})
+
+    return _sides(x, y, columns, on, rows).mapInPandas(solve, "x_id long, y_id long, pairs long, algorithm string, seconds double, alpha double")
+
+
 def density(n_edges: float, n: int) -> float:
     return n_edges / (n * (n - 1) / 2) if n > 1 else 0.0
 
@@ -172,20 +262,30 @@ def auto_candidates(dens: float, n: int) -> list[tuple[str, float]]:
 def evaluate(x: DataFrame, y: DataFrame, weights: dict, alphas: Sequence[float], p: float = 1, candidates="auto") -> list[dict]:
     """A row for each alpha: alpha, beta, density, algorithm (that solved it), duration (its seconds), pairs
     (configurations), unmatched. Candidates are tried in turn until one ends in time; if none does, beta is NaN. One radius join
-    at the largest alpha and one matching job serve all. Tables must have as many rows."""
+    at the largest alpha and one matching job serve all. Beyond LOCAL_EDGES edges "auto" makes none of them: Hopcroft-Karp over
+    ranges solves all, within the longest of the time limits. Tables must have as many rows."""
     columns = x.columns
     cx, cy = (staged(configurations(scale_by_weights(t.select(*columns), weights), columns)) for t in (x, y))
     n, m = (r.n or 0 for r in cx.agg(F.sum("n").alias("n")).withColumn("t", F.lit(0)).union(cy.agg(F.sum("n").alias("n")).withColumn("t", F.lit(1))).orderBy("t").collect())
     if n != m:
         raise AssertionError(f"{n} rows against {m}")
-    edges = radius_edges(cx, cy, columns, max(alphas), p)
-    within = F.filter(F.array(*(F.lit(float(a)) for a in alphas)), lambda a: a >= F.col("distance"))
-    near = edges.select("x_id", "y_id", F.explode(within).alias("alpha"))
-    near = staged(near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id"))
-    stats = near.groupBy("alpha").agg(F.sum(F.col("a") * F.col("b")).alias("rows"), F.count(F.lit(1)).alias("edges")).collect()
-    dens = {float(a): 0.0 for a in alphas} | {r.alpha: density(r.rows, n) for r in stats}
+    stats = radius_counts(cx, cy, columns, alphas, p) if as_ranges(cx, cy, columns) else None
+    if stats is None or candidates != "auto" or max(e for e, _ in stats.values()) <= LOCAL_EDGES:
+        edges = radius_edges(cx, cy, columns, max(alphas), p)
+        within = F.filter(F.array(*(F.lit(float(a)) for a in alphas)), lambda a: a >= F.col("distance"))
+        near = staged(edges.select("x_id", "y_id", F.explode(within).alias("alpha")))
+        if stats is None:
+            rows = near.join(cx.select(F.col("id").alias("x_id"), F.col("n").alias("a")), "x_id").join(cy.select(F.col("id").alias("y_id"), F.col("n").alias("b")), "y_id")
+            counted = rows.groupBy("alpha").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("a") * F.col("b")).alias("rows")).collect()
+            stats = {float(a): (0, 0) for a in alphas} | {r.alpha: (r.edges, r.rows) for r in counted}
+    else:
+        near = None
+    dens = {a: density(r, n) for a, (_, r) in stats.items()}
     plans = {a: auto_candidates(v, n) if candidates == "auto" else list(candidates) for a, v in dens.items()}
-    every = staged(solved(cx, cy, near.drop("a", "b"), plans, most_edges=max((r.edges for r in stats), default=0)))
+    if near is None:
+        every = staged(solved_ranges(cx, cy, columns, alphas, p, max(s for plan in plans.values() for _, s in plan)))
+    else:
+        every = staged(solved(cx, cy, near, plans, most_edges=max(e for e, _ in stats.values())))
     info = every.filter("x_id IS NULL").groupBy("alpha").agg(F.sum("pairs").alias("size"), F.count_if(F.col("pairs").isNull()).alias("late"), F.max_by("algorithm", "seconds").alias("algorithm"), F.sum("seconds").alias("seconds"))
     info, out = {r.alpha: r for r in info.collect()}, []
     for alpha in map(float, alphas):

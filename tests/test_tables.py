@@ -1,5 +1,6 @@
 """Histograms, metrics, privacy, faithfulness, post-processing, acceptance."""
 
+import collections
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import flows, acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile
+from tablewright.operators import flows, acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile, ranges
 from tablewright.plans import birth, evaluate
 
 
@@ -253,6 +254,49 @@ def test_radius_join_matches_brute_force(spark):
         assert got == {(u[0], v[0]) for u in a for v in b if sum(abs(s - t) for s, t in zip(u[1:], v[1:])) <= alpha}
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_ranges_match_brute_force(p):
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        d = int(rng.integers(1, 4))
+        x, y = (np.unique(rng.integers(0, 6, (int(rng.integers(1, 25)), d)) * rng.choice([0.1, 0.3, 1.0], d), axis=0) for _ in range(2))
+        alpha = float(rng.choice([0, 0.3, 0.6, 1.0, 1.5]))
+        r = ranges.Ranges(x, y, alpha, p)
+        want = sorted((i, j) for i, u in enumerate(x) for j, v in enumerate(y) if ranges.distances(list(u), list(v), p) <= alpha)
+        assert want == sorted((i, int(r.order[q])) for i in range(len(x)) for k in range(r.start[i], r.start[i + 1]) for q in range(r.lo[k], r.hi[k]))
+        supply, demand = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+        assert r.sums(supply, demand) == (len(want), sum(int(supply[i] * demand[j]) for i, j in want))
+        got = ranges.match_ranges(r, supply, demand)
+        used = [collections.Counter(), collections.Counter()]
+        for i, j, k in got:
+            assert (i, j) in want and k > 0
+            used[0][i] += k
+            used[1][j] += k
+        assert all(used[0][i] <= supply[i] for i in used[0]) and all(used[1][j] <= demand[j] for j in used[1])
+        if want:
+            a, b = (np.array(z) for z in zip(*want))
+            assert sum(k for *_, k in got) == sum(flows.match_counts(a, b, dict(enumerate(supply)), dict(enumerate(demand))).values())
+
+
+def _no_pairs(*_, **__):
+    raise AssertionError("pairs were made")
+
+
+def test_matching_of_many_edges_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    x, y = (spark.createDataFrame([(float(rng.randrange(8)), rng.randrange(60) / 10, 100.0 * rng.randrange(3)) for _ in range(400)], "a double, b double, c double") for _ in range(2))
+    alphas = [0.3, 1.0, 1.5]
+    want = faithfulness.evaluate(x, y, {}, alphas)
+    monkeypatch.setattr(faithfulness, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(faithfulness, "radius_edges", _no_pairs)
+    got = faithfulness.evaluate(x, y, {}, alphas)
+    left = lambda r, side: sum(u.left for u in r[f"unmatched_{side}"].collect())
+    for a, b in zip(got, want):
+        assert a["beta"] == pytest.approx(b["beta"]) and a["density"] == b["density"] and 0 < a["duration"] and a["algorithm"] == "hopcroft_karp"
+        assert left(a, "x") == left(b, "x") == left(a, "y") == left(b, "y") == round(a["beta"] * 400)
+    assert want[0]["beta"] > 0
+
+
 @pytest.mark.parametrize("order", [1, 2])
 def test_projection(spark, order):
     rng = random.Random(order)
