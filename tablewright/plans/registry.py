@@ -643,8 +643,10 @@ def radius_edges(spark, d):
 
 @query(_PARTS + " SELECT round((SELECT count(*) FROM e) / (n * (n - 1) / 2), 9) AS density FROM (SELECT count(*) AS n FROM p WHERE id % 2 = 0)")
 def radius_density(spark, d):
-    x, y = _parts(spark, d)
-    return one(spark, density=round(faithfulness.density(faithfulness.radius_edges(x, y, ["size", "price", "brand"], 1.5).count(), x.count()), 9))
+    cols = ["size", "price", "brand"]
+    x, y = (tables.staged(faithfulness.configurations(t, cols)) for t in _parts(spark, d))
+    pairs = faithfulness.radius_counts(x, y, cols, [1.5])[1.5][1]
+    return one(spark, density=round(faithfulness.density(pairs, x.agg(F.sum("n")).first()[0] or 0), 9))
 
 
 @query()

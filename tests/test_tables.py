@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import flows, acceptance, bayesnet, faithfulness, filters, mechanisms, metrics, models, postprocess, privacy, profile, ranges
-from tablewright.plans import birth, evaluate
+from tablewright.plans import birth, evaluate, registry
 
 
 def private_table(spark):
@@ -282,6 +282,20 @@ def _no_pairs(*_, **__):
     raise AssertionError("pairs were made")
 
 
+def test_density_makes_no_pairs(spark, monkeypatch):
+    """Copies of rows, values a distance of exactly alpha apart, nulls: as many pairs as the join has, none of them made."""
+    rng = random.Random(4)
+    rows = lambda: [(k, rng.choice([None, *map(float, range(8))]), rng.randrange(40) / 50, 100.0 * rng.randrange(2)) for k in range(300)]
+    columns = ["p", "q", "r"]
+    x, y = (spark.createDataFrame(rows(), "id long, p double, q double, r double") for _ in range(2))
+    want = {a: faithfulness.radius_edges(x, y, columns, a).count() for a in (0.0, 0.5, 1.5)}
+    monkeypatch.setattr(faithfulness, "radius_edges", _no_pairs)
+    cx, cy = (faithfulness.configurations(t, columns) for t in (x, y))
+    assert {a: n for a, (_, n) in faithfulness.radius_counts(cx, cy, columns, [0.5, 1.5]).items()} == {a: want[a] for a in (0.5, 1.5)}
+    assert faithfulness.radius_counts(cx, cy, columns, [0.0])[0.0][1] == want[0.0] > 0
+    registry.QUERIES["radius_density"](spark, "/root/testdata/sf0.001")
+
+
 def test_matching_of_many_edges_makes_no_pairs(spark, monkeypatch):
     rng = random.Random(5)
     x, y = (spark.createDataFrame([(float(rng.randrange(8)), rng.randrange(60) / 10, 100.0 * rng.randrange(3)) for _ in range(400)], "a double, b double, c double") for _ in range(2))
