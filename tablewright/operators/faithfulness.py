@@ -34,6 +34,8 @@ CELL_COLUMNS = 2
 LOCAL_EDGES = 2_000_000
 #: Edges of a component beyond which it is matched greedily only, for an upper bound on beta. None: no limit.
 COMPONENT_EDGES = None
+#: Rows from which on a radius join's tasks are not merged, and rows for which there is one task more.
+DEALT_ROWS, DEALT_A_TASK = 100_000, 10_000
 #: Algorithms and time limits where nothing is known of the density.
 AUTO = (("push_relabel", 3600.0),)
 
@@ -59,7 +61,7 @@ def exact_columns(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: flo
 
 def radius_edges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: float, p: float = 1, keys: Sequence[str] | None = None) -> DataFrame:
     """x_id, y_id, distance of all pairs of rows with a distance of at most alpha. x and y have an id."""
-    exact, spread, _ = _ranges(x, y, columns, alpha)
+    exact, spread, rows = _ranges(x, y, columns, alpha)
     keys = exact if keys is None else list(keys)
     rest = [c for c in columns if c not in keys]
     celled = sorted(rest, key=lambda c: -spread.get(c, 0))[:CELL_COLUMNS] if alpha > 0 else []
@@ -72,6 +74,9 @@ def radius_edges(x: DataFrame, y: DataFrame, columns: Sequence[str], alpha: floa
     on = [f"k_{c}" for c in [*keys, *celled]]
     total = reduce(lambda s, c: s + F.pow(F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")), F.lit(float(p))) if p != 1 else s + F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")), columns, F.lit(0.0))
     distance: Column = total if p == 1 else F.pow(total, F.lit(1.0 / p))
+    if on and rows >= DEALT_ROWS:
+        # As many tasks as the pairs ask for: by what the tables weigh, Spark would merge them to a few.
+        a, b = (t.repartition(RANGE_TASKS + rows // DEALT_A_TASK, *on) for t in (a, b))
     joined = a.join(b, on) if on else a.crossJoin(b)
     return joined.withColumn("distance", distance).filter(F.col("distance") <= alpha).select("x_id", "y_id", "distance")
 

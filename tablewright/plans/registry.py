@@ -638,7 +638,7 @@ _PARTS = "WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, p_retailpri
 
 @query(_PARTS + " SELECT x_id, y_id, round(distance, 6) AS distance FROM e")
 def radius_edges(spark, d):
-    return faithfulness.radius_edges(*_parts(spark, d), ["size", "price", "brand"], 1.5).select("x_id", "y_id", r6("distance").alias("distance"))
+    return faithfulness.radius_edges(*_parts(spark, d), ["size", "price", "brand"], 1.5).select("x_id", "y_id", binning.round_quickly(F.col("distance"), 6).alias("distance"))
 
 
 @query(_PARTS + " SELECT round((SELECT count(*) FROM e) / (n * (n - 1) / 2), 9) AS density FROM (SELECT count(*) AS n FROM p WHERE id % 2 = 0)")

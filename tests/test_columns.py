@@ -1,6 +1,7 @@
 """Binning, numbers, transforms, schemas, filters."""
 
 import math
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -146,3 +147,13 @@ def test_tails_and_assignment():
         got = stats.assignment(cost)
         assert sorted(got) == list(range(n))
         assert sum(cost[i, j] for i, j in enumerate(got)) == min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_round_quickly_is_round(spark):
+    rng = random.Random(11)
+    some = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -0.5e-6, -1e-9, 1.0000005, 0.1234565, 2.675, 1e6, 999999.9999995, 4.5e15, 1e300, float("inf"), float("nan"), None]
+    some += [rng.uniform(0, 2) for _ in range(2000)] + [rng.randrange(10**7) / 1e7 for _ in range(2000)] + [-rng.uniform(0, 1e6) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in some], "v double")
+    for digits in (0, 3, 6):
+        got = df.select("v", F.hex(F.round("v", digits).cast("string").cast("binary")).alias("a"), F.hex(binning.round_quickly(F.col("v"), digits).cast("string").cast("binary")).alias("b")).collect()
+        assert [r for r in got if r.a != r.b] == []

@@ -278,6 +278,14 @@ def test_ranges_match_brute_force(p):
             assert sum(k for *_, k in got) == sum(flows.match_counts(a, b, dict(enumerate(supply)), dict(enumerate(demand))).values())
 
 
+def test_large_joins_keep_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr(faithfulness, "DEALT_ROWS", 100)
+    x, y = (spark.range(200).select("id", (F.col("id") / 7).alias("p"), (F.col("id") % 3).cast("double").alias("q")) for _ in range(2))
+    edges = faithfulness.radius_edges(x, y, ["p", "q"], 1.5)
+    assert edges.rdd.getNumPartitions() >= faithfulness.RANGE_TASKS
+    assert edges.count() == sum(abs(a / 7 - b / 7) + abs(a % 3 - b % 3) <= 1.5 for a in range(200) for b in range(200))
+
+
 def _no_pairs(*_, **__):
     raise AssertionError("pairs were made")
 
