@@ -54,12 +54,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     )
 
 
-def join_dealt(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def join_dealt(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Like join_groups, for groups whose values may be long: these are never broadcast. The rows of a hot group are dealt
-    out, and its values repeated for each share; only the hot keys are sent along. Rows with a null key may be kept (left)."""
+    out, and its values repeated for each share; only the hot keys are sent along. Rows with a null key may be kept (left).
+    The keys and sizes of all groups may be given apart, so that groups are read but once."""
     limit = F.lit(max(1.0, total * HOT_SHARE))
     copies = F.ceil(F.col(size) / limit)
-    hot = groups.filter(F.col(size) > limit).select(*keys, copies.alias("_copies"))
+    hot = (groups if sizes is None else sizes).filter(F.col(size) > limit).select(*keys, copies.alias("_copies"))
     shares = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop(size)
     share = F.when(F.col("_copies").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_copies")))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_copy", share).drop("_copies")

@@ -10,10 +10,9 @@ from .common import drop, join_groups, written
 
 def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
     """pairs(u, v): link v and u to the least node around u. The minimum is a partial aggregate; nodes with very many
-    neighbours get it by broadcast (join_groups)."""
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-    total = least.agg(F.sum("n")).first()[0] or 0
-    linked = join_groups(pairs, least, ["u"], "n", total)
+    neighbours get it by broadcast (join_groups). It is cheaper to sum again than to write."""
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = join_groups(pairs, least, ["u"], "n", pairs.count())
     if keep_larger:
         linked = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

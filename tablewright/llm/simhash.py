@@ -433,11 +433,10 @@ def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, shingle:
 
 def _with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
     """pairs(a, a_rep, b) with the columns of of(same, ...) for either side, named by it."""
-    total = pairs.count()
+    total, many = pairs.count(), {side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")) for side in "ab"}
     for side in "ab":
-        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m"))
         own = of.select(F.col("same").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in of.columns if c != "same"))
-        pairs = join_dealt(pairs, written(many.join(own.hint("shuffle_merge"), side)), [side], "m", total)
+        pairs = join_dealt(pairs, many[side].join(own.hint("shuffle_merge"), side), [side], "m", total, sizes=many[side])
     return pairs
 
 

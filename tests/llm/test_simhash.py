@@ -105,3 +105,22 @@ def test_dense_cells_stay_fast():
     began = time.time()
     a, b = simhash._links(np.zeros(n, dtype=np.int64), np.array(fps, dtype=np.uint64), np.ones(n, dtype=bool), np.full(n, -1), 3)
     assert len(a) == n - 1 and time.time() - began < 20
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Each file costs processes where the shared folder is local: a round of components writes two tables, and values are joined
+    to pairs without any."""
+    from tablewright.llm import graph
+    from tablewright.sources import tables
+
+    wrote, real = [], tables.staged
+    monkeypatch.setattr(tables, "staged", lambda df: wrote.append(df.columns) or real(df))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(20, 21)], "a long, b long")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {k: 0 for k in range(7)} | {20: 20, 21: 20}
+    assert len(wrote) % 2 == 1 and not [c for c in wrote if c != ["u", "v"]]
+    wrote.clear()
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 2, 3), (4, 4, 4)], "a long, a_rep long, b long")
+    of = spark.createDataFrame([(k, 10 * k) for k in range(1, 5)], "same long, size long")
+    rows = simhash._with_both(pairs, of).select("a", "b", "size_a", "size_b").collect()
+    assert sorted(map(tuple, rows)) == [(1, 2, 10, 20), (1, 3, 10, 30), (2, 3, 20, 30), (4, 4, 40, 40)] and not wrote
